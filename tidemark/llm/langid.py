@@ -27,7 +27,7 @@ ORDER = 4
 #: A training row in this many (by the key's checksum) calibrates and isn't counted.
 CALIBRATION_SHARE = 30
 #: Rejection lies this many standard deviations above the mean; evidence beyond SURE characters adds no certainty to a score.
-REJECT_SIGMA, REJECT_BITS, SURE = 6.0, 0.5, 100
+REJECT_SIGMA, REJECT_BITS, SURE = 6.0, 2.0, 100
 UNKNOWN = "und"
 
 

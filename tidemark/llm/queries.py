@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, packing, quality
+from tidemark.llm import langid, licenses, packing, quality, secrets, sharding
 
 TOKENIZER = "word_bpe_49k.json"
+SHARDS = 40
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,11 +23,35 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scanned.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_sentences", "n_unmatched")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.training_samples(spark, docs)))
+    mark = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *(of(k).alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(mark(F.filter("spans", lambda s: s["kind"] != "markov")), 256).alias("base_sha256"),
+        mark(F.col("spans")).alias("spans"),
+    )
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    cut = sharding.shard(docs, SHARDS, carry=("text_crc32",))
+    return cut.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
@@ -41,8 +66,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": op1_licenses,
     "op2_packing": op2_packing,
+    "op3_secrets": op3_secrets,
+    "op4_sharding": op4_sharding,
     "op5_langid": op5_langid,
     "op9_quality": op9_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle()}

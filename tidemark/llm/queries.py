@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, packing, quality, secrets, sharding
+from tidemark.llm import langid, licenses, neardup, packing, quality, secrets, sharding
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = 40
@@ -65,6 +65,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", "low_bits", "high_bits")
 
 
+def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": op1_licenses,
     "op2_packing": op2_packing,
@@ -72,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sharding": op4_sharding,
     "op5_langid": op5_langid,
     "op9_quality": op9_quality,
+    "op10_neardup": op10_neardup,
 }
 ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle()}

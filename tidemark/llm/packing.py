@@ -19,7 +19,6 @@ import re
 import unicodedata
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,16 +29,23 @@ from pyspark.sql import functions as F
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
-#: Words whose ids a task remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers before it starts anew.
+CACHE_WORDS = 1_000_000
 
 
 def _latin(kind: str) -> str:
     return "".join(chr(c) for c in range(0x21, 0x250) if unicodedata.category(chr(c))[0] == kind)
 
 
-class WordTokens:
-    """Ids of texts under the lower-casing word BPE, one lookup for each word.
+def _byte_letters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(0x100 + other.index(b)) for b in range(256)]
+
+
+class WordTokens(dict):
+    """Ids of texts under the lower-casing word BPE, looked up word by word; maps a word to its ids' bytes.
 
     The vocabulary splits a text into letters, single digits and other runs before any merge, so
     ids of a text are those of its pieces joined. The split is done here for texts within Latin
@@ -47,27 +53,39 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.merge = self.tokenizer.model.tokenize
         letters, digits = re.escape(_latin("L")), re.escape(_latin("N"))
         self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\t\n\r {letters}{digits}]+").findall
-        self.foreign = re.compile("[^\t\n\r\x20-\x7e¡-ɏ]").search
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.foreign(t) else self.pieces(t.lower()) for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        new = list(set(chain.from_iterable(x for x in split if x)).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, "<u4").tobytes()
-        look = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(look, x)) for t, x in zip(texts, split, strict=True)]
+        self.foreign = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f]").search
+        self.letters = dict(enumerate(_byte_letters()))
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+        text = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        ids = self[word] = np.array([t.id for t in self.merge(text)], "<u4").tobytes()
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if self.foreign(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, self.pieces(text.lower())))
+
+
+_TOKENS: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """One for each worker process, which serves many tasks."""
+    if path not in _TOKENS:
+        _TOKENS[path] = WordTokens(path)
+    return _TOKENS[path]
 
 
 class _Window:
@@ -163,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_id: int = 2
     """One row for each piece: its document, place in the document, sequence, offset and ids (little-endian 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(tokenizer)
+        tokens = word_tokens(tokenizer)
         base = TaskContext.get().partitionId() << 33
         rows: list[tuple] = []
         state = {"next": base, "bytes": 0}
@@ -185,13 +203,10 @@ def pack(docs: DataFrame, tokenizer: str, *, length: int = 4096, end_id: int = 2
         packer = OnlinePacker(length, open_windows, min_piece, emit)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 256):
-                texts = [t or "" for t in batch.column(1).slice(at, 256).to_pylist()]
-                for doc, got in zip(ids[at : at + 256], tokens.encode(texts), strict=True):
-                    packer.add(doc, got + end)
-                    if state["bytes"] > 4 << 20:
-                        yield flush()
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                packer.add(doc, tokens.encode(text.as_py() or "") + end)
+                if state["bytes"] > 4 << 20:
+                    yield flush()
         packer.finish()
         if rows:
             yield flush()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, licenses, neardup, packing, quality, secrets, sharding
+from tidemark.llm import decontam, langid, licenses, neardup, packing, quality, secrets, sharding
 
 TOKENIZER = "word_bpe_49k.json"
 SHARDS = 40
@@ -60,6 +60,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_bits").alias("bits"), F.col("lang_rejected").alias("rejected"))
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits", "low_bits", "high_bits")
@@ -75,7 +79,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secrets": op3_secrets,
     "op4_sharding": op4_sharding,
     "op5_langid": op5_langid,
+    "op6_decontam": op6_decontam,
     "op9_quality": op9_quality,
     "op10_neardup": op10_neardup,
 }
-ORACLES: dict[str, str] = {"op1_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {
+    "op1_licenses": licenses.oracle(),
+    "op6_decontam": decontam.oracle(),
+}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,3 +60,30 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once an application, unless their path already has it."""
+    home = Path(__file__).resolve().parent.parent
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED or str(home) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    archive = shutil.make_archive(f"{folder}/tidemark", "zip", home, "tidemark")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
+def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(f, schema)
+
+
+def arrow_groups(df: DataFrame, keys: list[str], f: Callable, schema: str) -> DataFrame:
+    """``applyInArrow`` on the groups of ``keys`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(f, schema)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import U64, buffers, chunks, mix
+from tidemark.session import arrow_map
 
 SLOT_BITS = 21
 BLANK = 32
@@ -133,7 +134,7 @@ def count(docs: DataFrame, order: int, classes: list[str], *, letters_only: bool
             p = at[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(total[p]), pa.array(a[p]), pa.array(b[p])], ["slot", "n", "a", "b"])
 
-    got = docs.select(F.col("text").cast("string"), F.col("label").cast("string")).mapInArrow(run, "slot long, n long, a long, b long")
+    got = arrow_map(docs.select(F.col("text").cast("string"), F.col("label").cast("string")), run, "slot long, n long, a long, b long")
     return got.groupBy("slot").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b")).alias("g")).select("n", "g.a", "g.b")
 
 

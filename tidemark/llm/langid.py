@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import charlm
+from tidemark.session import arrow_map
 
 ORDER = 4
 #: A training row in this many (by the key's checksum) calibrates and isn't counted.
@@ -71,7 +72,7 @@ def train(labelled: DataFrame) -> LanguageModel:
             pick = np.arange(len(size))[ok], own[ok]
             yield pa.RecordBatch.from_arrays([pa.array(own[ok]), pa.array(size[ok]), pa.array(bits[pick]), pa.array(square[pick])], ["c", "n", "bits", "sq"])
 
-    held = rows.filter("held").select("text", "label").mapInArrow(measure, "c long, n long, bits double, sq double")
+    held = arrow_map(rows.filter("held").select("text", "label"), measure, "c long, n long, bits double, sq double")
     per = held.withColumn("x", F.col("bits") / F.col("n")).groupBy("c").agg(F.percentile_approx("x", [0.25, 0.5, 0.75], 1000).alias("q"), (F.sum("sq") / F.sum("n") - F.pow(F.sum("bits") / F.sum("n"), 2)).alias("v"))
     mean, between, within = (np.zeros(len(languages)) for _ in range(3))
     mean[:], within[:], between[:] = 6.0, 3.0, 1.0  # a language without calibration rows
@@ -95,4 +96,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             lang, score, bits, rejected = shared.value.judge(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], [*fields, "lang_pred", "lang_score", "lang_bits", "lang_rejected"])
 
-    return packed.mapInArrow(run, schema)
+    return arrow_map(packed, run, schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import charlm
 from tidemark.llm.arrowtext import U64, Powers, buffers, chunks, mix, shingles, span_hashes, words
-from tidemark.session import materialize
+from tidemark.session import arrow_map, materialize
 
 ORDER = 5
 NO_LANGUAGE = "und"
@@ -136,7 +136,7 @@ def measure(docs: DataFrame, model: charlm.CharModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), lang, *(pa.array(stats[k]) for k in STATS), pa.array(size), pa.array(value, pa.float64())], ["doc_id", "lang", *STATS, "n_chars", "bits"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
-    return rows.mapInArrow(run, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in STATS) + ", n_chars long, bits double")
+    return arrow_map(rows, run, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in STATS) + ", n_chars long, bits double")
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def judge(docs: DataFrame) -> DataFrame:
     slack = LENGTH_BITS / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        measured.join(bands, "lang", "left")
+        measured.join(F.broadcast(bands), "lang", "left")  # a row for each language of the model
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & F.coalesce(F.col("bits").between(F.col("low_bits") - slack, F.col("high_bits") + slack), F.lit(True)))
     )

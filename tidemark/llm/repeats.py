@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import U64, Powers, buffers, chunks, mix
-from tidemark.session import materialize
+from tidemark.session import arrow_groups, arrow_map, materialize
 
 GRAM = 20
 #: Documents' findings are broadcast up to so many bytes together; beyond, texts are joined by a shuffle.
@@ -188,7 +188,7 @@ def _find(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         rows = [*_rows(COVERED, _doc_bucket(doc[out], buckets), doc[out], version[out], p[out]), *_rows(FETCH, _doc_bucket(doc[ask], buckets), doc[ask], version[ask], p[ask], h=h[ask])]
         return pa.Table.from_batches([_batch(rows)])
 
-    return docs.mapInArrow(emit, _DDL).groupBy("bucket").applyInArrow(meet, _DDL)
+    return arrow_groups(arrow_map(docs, emit, _DDL), ["bucket"], meet, _DDL)
 
 
 def _by_document(found: DataFrame, kinds: list[int], width: int, fetch: bool) -> DataFrame:
@@ -214,7 +214,7 @@ def _by_document(found: DataFrame, kinds: list[int], width: int, fetch: bool) ->
             two.append(e.astype("<u8" if fetch else "<u4").tobytes())
         return pa.table({"d": pa.array(doc[cut]), "v": pa.array(version[cut]), "a": pa.array(one, pa.binary()), "b": pa.array(two, pa.binary())})
 
-    return found.filter(F.col("kind").isin(kinds)).groupBy("bucket").applyInArrow(gather, "d long, v long, a binary, b binary")
+    return arrow_groups(found.filter(F.col("kind").isin(kinds)), ["bucket"], gather, "d long, v long, a binary, b binary")
 
 
 def _attached(docs: DataFrame, per: DataFrame, how: str) -> DataFrame:
@@ -268,7 +268,7 @@ def _compare(docs: DataFrame, per: DataFrame, width: int, buckets: int) -> DataF
         return pa.Table.from_batches([_batch(rows)])
 
     texts = _attached(docs, per, "inner").select("d", "v", "text", "a", "b")
-    return texts.mapInArrow(fetch, _DDL).groupBy("bucket").applyInArrow(meet, _DDL)
+    return arrow_groups(arrow_map(texts, fetch, _DDL), ["bucket"], meet, _DDL)
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 50) -> DataFrame:
@@ -296,4 +296,4 @@ def remove_repeats(docs: DataFrame, *, width: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = _attached(base, spans, "left").select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "text", "a", "b")
-    return joined.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return arrow_map(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# a worker gives back what it frees, rather than keep it for the next batch
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 1 << 64)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import charlm
-from tidemark.session import arrow_map
+from tidemark.session import arrow_map, ship
 
 ORDER = 4
 #: A training row in this many (by the key's checksum) calibrates and isn't counted.
@@ -84,16 +84,13 @@ def train(labelled: DataFrame) -> LanguageModel:
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of ``docs`` with lang_pred, lang_score, lang_bits and lang_rejected (which replace columns of those names)."""
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    base = docs.drop("lang_pred", "lang_score", "lang_bits", "lang_rejected")
-    fields = base.columns
-    at = len(fields)
-    packed = base.withColumn("__text", F.col("text").cast("string"))
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema] + ["lang_pred string", "lang_score double", "lang_bits double", "lang_rejected boolean"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lang, score, bits, rejected = shared.value.judge(batch.column(at))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], [*fields, "lang_pred", "lang_score", "lang_bits", "lang_rejected"])
+    @F.arrow_udf("lang_pred string, lang_score double, lang_bits double, lang_rejected boolean")
+    def judged(texts: pa.Array) -> pa.Array:
+        lang, score, bits, rejected = shared.value.judge(texts)
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], ["lang_pred", "lang_score", "lang_bits", "lang_rejected"])
 
-    return arrow_map(packed, run, schema)
+    rest = docs.drop("lang_pred", "lang_score", "lang_bits", "lang_rejected")
+    return rest.select(F.struct("*").alias("__row"), judged(F.col("text").cast("string")).alias("__judged")).select("__row.*", "__judged.*")

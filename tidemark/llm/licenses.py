@@ -112,18 +112,19 @@ def _identifiers(text: Column) -> Column:
 
 def scan(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with licenses (array, in order of first match), n_sentences and n_unmatched."""
+    rest = docs.drop("licenses", "n_sentences", "n_unmatched")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     likely = F.lower(text).rlike("|".join(ANCHORS))
-    out = docs.withColumn("__ids", F.when(likely, _identifiers(text)).otherwise(F.lit("")))
+    out = rest.select(F.struct("*").alias("__row"), F.when(likely, _identifiers(text)).otherwise(F.lit("")).alias("__ids"))
     matched = F.col("__ids")
     for name, sequence in RULES:
         matched = F.regexp_replace(matched, "".join(f"<{k}>" for k in sequence), f"{{{name}}}")
     out = out.withColumn("__matched", F.when(F.col("__ids") == "", F.lit("")).otherwise(matched))
-    return (
-        out.withColumn("licenses", F.array_distinct(F.regexp_extract_all("__matched", F.lit("\\{([^}]*)\\}"), 1)))
-        .withColumn("n_sentences", F.regexp_count("__ids", F.lit("<")).cast("long"))
-        .withColumn("n_unmatched", F.regexp_count("__matched", F.lit("<")).cast("long"))
-        .drop("__ids", "__matched")
+    return out.select(
+        "__row.*",
+        F.array_distinct(F.regexp_extract_all("__matched", F.lit("\\{([^}]*)\\}"), 1)).alias("licenses"),
+        F.regexp_count("__ids", F.lit("<")).cast("long").alias("n_sentences"),
+        F.regexp_count("__matched", F.lit("<")).cast("long").alias("n_unmatched"),
     )
 
 

@@ -91,7 +91,7 @@ def train(samples: DataFrame) -> list[float]:
 
 def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     """All columns of ``docs`` with spans, an array of (start, end, kind, text, ratio) by start, then kind; ratio is null for base spans."""
-    base = docs.drop("spans").withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    base = docs.drop("spans").select(F.struct("*").alias("__row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("__text"))
     text = F.col("__text")
     for k, pattern in enumerate([ASSIGN, ACCESS, HEX, CANDIDATE]):
         base = base.withColumn(f"__{k}", _spans(text, pattern, k))
@@ -107,4 +107,4 @@ def scan(docs: DataFrame, ratios: list[float]) -> DataFrame:
     known = F.transform("__base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["text"].alias("text"), F.lit(None).cast("double").alias("ratio")))
     names = F.array(*[F.lit(k) for k in KINDS])
     both = F.transform(F.array_sort(F.concat(known, F.col("__more"))), lambda s: F.struct(s["start"].cast("long").alias("start"), s["end"].cast("long").alias("end"), F.get(names, s["kind"]).alias("kind"), s["text"].alias("text"), s["ratio"].alias("ratio")))
-    return base.withColumn("spans", both).drop("__text", "__0", "__1", "__2", "__3", "__base", "__more")
+    return base.select("__row.*", both.alias("spans"))

@@ -1,7 +1,7 @@
 """Groups of similar items from shared buckets, without all pairs of a bucket.
 
-Items meet in buckets. First each item is compared with its bucket's least item alone; verified
-links join items into groups. Only items that share a bucket and still are in different groups
+Items meet in buckets. First each item is compared with its bucket's head alone, the one that
+meets most others; verified links join items into groups. Only items that share a bucket and still are in different groups
 are then compared with each other, so no link between groups is lost, and a large group of alike
 items costs a comparison each rather than one for each pair.
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.session import materialize
@@ -33,7 +33,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(now, "edges")
     state = _state(now)
     if not state[0]:
-        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        return _stars(now)
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -48,31 +48,46 @@ def components(edges: DataFrame) -> DataFrame:
             break
     else:
         raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return _stars(now)
 
 
-def link(members: DataFrame, keys: list[str], near: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], object], payload: list[str]) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def link(members: DataFrame, keys: list[str], near: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], payload: list[str], extra: DataFrame | None = None, bound: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, root) of all items that ``near`` links to another.
 
     ``members`` has ``keys`` (the bucket), ``id`` and ``payload`` columns. ``possible(a, b)`` is a
     condition on the payload, prefixed a_ and b_, that no link fails; ``near`` keeps those rows of
-    a frame of distinct (a, b) that are links.
+    a frame of distinct (a, b) that are links. ``extra`` (id, extra) is one more payload column for
+    those items that are still to be compared across groups, and ``bound`` a condition on it.
     """
-    shared = members.groupBy(*keys).agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").select(*keys, "least")
+    shared = members.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1")
     held = materialize(members.join(shared, keys), "buckets")
-    heads = held.filter("id = least").select(*keys, *(F.col(p).alias(f"a_{p}") for p in payload)).distinct()
-    right = [F.col("least").alias("a"), F.col("id").alias("b"), *(F.col(p).alias(f"b_{p}") for p in payload)]
-    stars = held.filter("id <> least").select(*keys, *right).join(heads, keys)
-    stars = materialize(stars.filter(possible("a", "b")).select("a", "b").distinct(), "stars")
+    # an item that meets more others is nearer to the middle of its group
+    degree = held.groupBy("id").agg(F.sum(F.col("size") - 1).alias("degree"))
+    heads = held.join(degree, "id").groupBy(*keys).agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), *payload)).alias("head"))
+    heads = heads.select(*keys, (-F.col("head.minus")).alias("a"), *(F.col(f"head.{p}").alias(f"a_{p}") for p in payload))
+    stars = held.select(*keys, F.col("id").alias("b"), *(F.col(p).alias(f"b_{p}") for p in payload)).join(heads, keys).filter("a <> b").filter(possible("a", "b"))
+    stars = materialize(stars.select("a", "b").distinct(), "stars")
     first = materialize(near(stars), "links")
     groups = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     marked = held.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = marked.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(*keys)
-    open_ = materialize(marked.join(mixed, keys, "left_semi"), "mixed")
+    open_ = marked.join(mixed, keys, "left_semi").select(*keys, "id", "root", *payload)
+    if extra is not None:
+        open_ = open_.join(extra, "id")
+        payload = [*payload, "extra"]
+    open_ = materialize(open_, "open")
     one = open_.select(*keys, F.col("id").alias("a"), F.col("root").alias("a_root"), *(F.col(p).alias(f"a_{p}") for p in payload))
     two = open_.select(*keys, F.col("id").alias("b"), F.col("root").alias("b_root"), *(F.col(p).alias(f"b_{p}") for p in payload))
-    across = one.join(two, keys).filter("a < b and a_root <> b_root").filter(possible("a", "b")).select("a", "b").distinct()
-    across = across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    meets = possible("a", "b") & bound("a", "b") if bound else possible("a", "b")
+    across = one.join(two, keys).filter("a < b and a_root <> b_root").filter(meets).select("a", "b").distinct()
+    across = materialize(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
+    if across.isEmpty():
+        return groups
     second = materialize(near(across), "links")
     if second.isEmpty():
         return groups

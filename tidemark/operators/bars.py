@@ -96,7 +96,7 @@ def fill_gaps(bars: DataFrame, timeframe: str, fill_seconds: int) -> DataFrame:
     gap = (micros(F.lead("ts").over(order)) - micros(F.col("ts"))) / 1_000_000 - step
     known = bars.withColumn("__gap", gap)
     short = known.filter((F.col("__gap") > 0) & (F.col("__gap") <= fill_seconds))
-    ends = F.transform(F.sequence(F.lit(1), (F.col("__gap") / step).cast("int")), lambda k: F.timestamp_micros(micros(F.col("ts")) + k * F.lit(step * 1_000_000)))
+    ends = F.transform(F.sequence(F.lit(1), (F.col("__gap") / step).cast("int")), lambda k: F.timestamp_micros(micros(F.col("ts")) + k.cast("long") * (step * 1_000_000)))
     flat = short.withColumn("__ends", ends).withColumn("__at", F.explode("__ends"))
     made = {"ts": "__at", "open": "close", "high": "close", "low": "close", "spread_mean": "spread_close", "spread_max": "spread_close"}
     zero = {"volume": "double", "bid_volume": "double", "ask_volume": "double", "tick_count": "long"}

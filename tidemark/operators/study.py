@@ -132,7 +132,7 @@ def modality_statistics(rows: DataFrame, feature: str, target: str, by: list[str
     own = ranked.groupBy(*by, "value").agg(F.count("*").alias("n"), F.sum(centred).alias("s"), F.sum(centred * centred).alias("q"), F.sum("r").alias("rank_sum"), F.sum("t").alias("t"), F.sum(success.cast("long")).alias("hits"), F.first("shift").alias("shift"), F.percentile("y", F.lit(0.5)).alias("median"))
     rest = lambda c: F.sum(c).over(whole) - F.col(c)
     mean = lambda s, n: F.try_divide(s, n)
-    var = lambda q, s, n: F.greatest(F.try_divide(q - s * s / F.greatest(n, F.lit(1)), F.when(n > 1, n - 1)), F.lit(0.0))
+    var = lambda q, s, n: F.when(n > 1, F.greatest((q - s * s / n) / (n - 1), F.lit(0.0)))
     out = own.withColumn("n_rest", rest("n")).withColumn("s_rest", rest("s")).withColumn("q_rest", rest("q")).withColumn("hits_rest", rest("hits")).withColumn("ties", F.sum("t").over(whole))
     return out.select(
         *by, "value", "n", "n_rest", (F.col("shift") + mean(F.col("s"), F.col("n"))).alias("mean"), (F.col("shift") + mean(F.col("s_rest"), F.col("n_rest"))).alias("mean_rest"),

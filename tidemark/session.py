@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -62,6 +63,11 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_up_to(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most so many rows, and else as it is. It should be materialised."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -7,7 +7,8 @@ equal anchors at equal places, so they meet where their anchor's hash is dealt;
 sixteen is an anchor. An anchor carries a hash of its context, all bytes of any string that it
 could anchor. Of equal contexts the earliest document's stands for all: the others are covered,
 each task says so of its own before anything is shuffled, and a hot passage sends one entry a
-task. Only where contexts differ are their bytes fetched and compared string by string.
+task. Only where contexts differ, and yet share all bytes next to the anchor on one side, are their
+bytes fetched and compared string by string.
 
 Entries travel as packed arrays, many to a row. No index of the whole corpus is built, and
 results are exact but for collisions of 64-bit hashes.
@@ -20,6 +21,7 @@ rows are judged alike; an empty table gives no rows; further columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,10 @@ from tidemark.llm.arrowtext import U64, Powers, buffers, chunks, mix
 from tidemark.session import arrow_groups, arrow_map, materialize
 
 GRAM = 20
-#: Documents' findings are broadcast up to so many bytes together; beyond, texts are joined by a shuffle.
+#: Covered stretches are broadcast up to so many bytes together; beyond, texts are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
+#: Anchors that a task packs at once.
+ENTRIES = 400_000
 LAST = (1 << 63) - 1
 _ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((k, pa.binary()) for k in "dvisehc")])
 _DDL = "bucket int, kind int, d binary, v binary, i binary, s binary, e binary, h binary, c binary"
@@ -65,11 +69,15 @@ def _spans(prefix: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.nda
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, width: int, powers: Powers) -> tuple[np.ndarray, ...]:
-    """Hash, context hash, document and place in it of each anchor of some documents."""
+    """Hash, context hash, sides, document and place in it of each anchor of some documents.
+
+    Sides are 16 bits each of the hashes of the bytes next to the anchor, to either side so many
+    that a string with both anchors has all of one side.
+    """
     size = len(raw)
     none = np.zeros(0, np.int64)
     if size < width:
-        return none.astype(U64), none.astype(U64), none, none
+        return none.astype(U64), none.astype(U64), none, none, none
     prefix = _prefix(raw, powers)
     total, down = prefix
     with np.errstate(over="ignore"):
@@ -85,7 +93,11 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int, powers: Powers) ->
     end = np.minimum(at + width, offsets[doc + 1])
     with np.errstate(over="ignore"):
         context = mix(_spans(prefix, start, end) + (at - start).astype(U64))
-    return grams[at], context, doc, at - offsets[doc]
+    half = (width - GRAM + 1) // 2
+    left = _spans(prefix, np.maximum(at - half, offsets[doc]), at)
+    right = _spans(prefix, at + GRAM, np.minimum(at + GRAM + half, offsets[doc + 1]))
+    sides = (left >> U64(48) << U64(16) | right >> U64(48)).astype(np.int64)
+    return grams[at], context, sides, doc, at - offsets[doc]
 
 
 def _classes(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,6 +110,16 @@ def _classes(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, first, low, lead
 
 
+def _several(key: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Which entries share their key with one of another document."""
+    out = np.zeros(len(key), bool)
+    if len(key):
+        by = np.argsort(key, kind="stable")
+        start = np.flatnonzero(np.r_[True, key[by][1:] != key[by][:-1]])
+        out[by] = np.repeat(np.minimum.reduceat(low[by], start) != np.maximum.reduceat(low[by], start), np.diff(np.r_[start, len(by)]))
+    return out
+
+
 def _rows(kind: int, bucket: np.ndarray, doc: np.ndarray, version: np.ndarray, s: np.ndarray, e: np.ndarray | None = None, h: np.ndarray | None = None, c: np.ndarray | None = None) -> Iterator[tuple]:
     """A row of packed arrays for each bucket; documents are listed once and numbered."""
     if not len(bucket):
@@ -117,6 +139,11 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_ROW), _ROW, strict=True)], schema=_ROW)
 
 
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while part := list(islice(rows, 32)):
+        yield _batch(part)
+
+
 def _unpacked(table: pa.Table, names: str) -> list[np.ndarray]:
     """Documents, versions and the named arrays of all entries of some rows."""
     kinds = {"s": "<u4", "e": "<u4", "h": "<u8", "c": "<u8"}
@@ -146,7 +173,15 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _find(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """Rows of covered contexts, and of contexts to fetch, by document bucket."""
-    reach = width - GRAM
+
+    def packed(got: list[tuple], ids: np.ndarray, versions: np.ndarray) -> Iterator[pa.RecordBatch]:
+        h, c, sides, row, p = (np.concatenate(x) for x in zip(*got, strict=True))
+        doc, version = ids[row], versions[row]
+        with np.errstate(over="ignore"):
+            order, _, _, lead = _classes(mix(h) + c, doc)
+        own, out = np.sort(order[lead]), np.sort(order[~lead])
+        yield from _batches(_rows(ANCHOR, (h[own] % U64(buckets)).astype(np.int64), doc[own], version[own], p[own], sides[own], h[own], c[own]))
+        yield from _batches(_rows(COVERED, buckets + _doc_bucket(doc[out], buckets), doc[out], version[out], p[out]))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -154,35 +189,29 @@ def _find(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             versions = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             raw, offsets = buffers(batch.column(2))
-            got = [(h, c, i + d, p) for i, _, part, at in chunks(raw, offsets) for h, c, d, p in [anchors(part, at, width, powers)]]
-            if not got:
-                continue
-            h, c, row, p = (np.concatenate(x) for x in zip(*got, strict=True))
-            doc, version = ids[row], versions[row]
-            with np.errstate(over="ignore"):
-                order, _, _, lead = _classes(mix(h) + c, doc)
-            own, out = order[lead], order[~lead]
-            rows = list(_rows(ANCHOR, (h[own] % U64(buckets)).astype(np.int64), doc[own], version[own], p[own], h=h[own], c=c[own]))
-            rows += _rows(COVERED, buckets + _doc_bucket(doc[out], buckets), doc[out], version[out], p[out])
-            for k in range(0, len(rows), 64):
-                yield _batch(rows[k : k + 64])
+            got, held = [], 0
+            for i, _, part, at in chunks(raw, offsets):
+                h, c, e, d, p = anchors(part, at, width, powers)
+                got.append((h, c, e, i + d, p))
+                held += len(h)
+                if held >= ENTRIES:
+                    yield from packed(got, ids, versions)
+                    got, held = [], 0
+            if got:
+                yield from packed(got, ids, versions)
 
     def meet(table: pa.Table) -> pa.Table:
         if not len(table) or table.column("bucket")[0].as_py() >= buckets:
             doc, version, p = _unpacked(table, "s")
             return pa.Table.from_batches([_batch(list(_rows(COVERED, _doc_bucket(doc, buckets), doc, version, p)))])
-        doc, version, p, h, c = _unpacked(table, "shc")
+        doc, version, p, sides, h, c = _unpacked(table, "sehc")
         with np.errstate(over="ignore"):
             order, first, low, lead = _classes(mix(h) + c, doc)
         out = order[~lead]
-        # classes of an anchor with several contexts, whose earliest documents differ
-        head = h[order[first]]
-        by = np.argsort(head, kind="stable")
-        start = np.flatnonzero(np.r_[True, head[by][1:] != head[by][:-1]]) if len(by) else by
-        count = np.diff(np.r_[start, len(by)])
-        many = np.zeros(len(by), bool)
-        if len(by):
-            many[by] = np.repeat((np.minimum.reduceat(low[by], start) != np.maximum.reduceat(low[by], start)) & (count > 1), count)
+        # contexts of one anchor and one side in common, whose earliest documents differ
+        head, side = h[order[first]], sides[order[first]].astype(U64)
+        with np.errstate(over="ignore"):
+            many = _several(mix(head + (side >> U64(16))), low) | _several(mix(mix(head) + (side & U64(0xFFFF))), low)
         size = np.diff(np.r_[first, len(order)])
         ask = order[lead & np.repeat(many, size)]
         rows = [*_rows(COVERED, _doc_bucket(doc[out], buckets), doc[out], version[out], p[out]), *_rows(FETCH, _doc_bucket(doc[ask], buckets), doc[ask], version[ask], p[ask], h=h[ask])]
@@ -217,12 +246,6 @@ def _by_document(found: DataFrame, kinds: list[int], width: int, fetch: bool) ->
     return arrow_groups(found.filter(F.col("kind").isin(kinds)), ["bucket"], gather, "d long, v long, a binary, b binary")
 
 
-def _attached(docs: DataFrame, per: DataFrame, how: str) -> DataFrame:
-    """Texts with what was found of them, by broadcast only where that is small."""
-    size = per.agg(F.sum(F.octet_length("a") + F.octet_length("b") + 64)).first()[0] or 0
-    return docs.join(F.broadcast(per) if size <= BROADCAST_BYTES else per, ["d", "v"], how)
-
-
 def _compare(docs: DataFrame, per: DataFrame, width: int, buckets: int) -> DataFrame:
     """Rows of stretches that differing contexts have in common with those of earlier documents."""
     reach = width - GRAM
@@ -241,11 +264,7 @@ def _compare(docs: DataFrame, per: DataFrame, width: int, buckets: int) -> DataF
                 continue
             doc, version, p, end, h, ctx = (np.concatenate(x) for x in zip(*part, strict=True))
             bucket = (h % U64(buckets)).astype(np.int64)
-            rows = []
-            for row in _rows(ANCHOR, bucket, doc, version, p, end, h):
-                rows.append((*row[:8], ctx[bucket == row[0]].tobytes()))
-            for k in range(0, len(rows), 64):
-                yield _batch(rows[k : k + 64])
+            yield from _batches((*row[:8], ctx[bucket == row[0]].tobytes()) for row in _rows(ANCHOR, bucket, doc, version, p, end, h))
 
     def meet(table: pa.Table) -> pa.Table:
         doc, version, p, end, h = _unpacked(table, "seh")
@@ -267,7 +286,8 @@ def _compare(docs: DataFrame, per: DataFrame, width: int, buckets: int) -> DataF
         rows = list(_rows(STRETCH, _doc_bucket(doc[who], buckets), doc[who], version[who], start, stop))
         return pa.Table.from_batches([_batch(rows)])
 
-    texts = _attached(docs, per, "inner").select("d", "v", "text", "a", "b")
+    # nearly every document has an edge of some passage, so this join is a shuffle at every size
+    texts = docs.join(per.hint("merge"), ["d", "v"]).select("d", "v", "text", "a", "b")
     return arrow_groups(arrow_map(texts, fetch, _DDL), ["bucket"], meet, _DDL)
 
 
@@ -295,5 +315,6 @@ def remove_repeats(docs: DataFrame, *, width: int = 50) -> DataFrame:
                 kept.append(b"".join(x.tobytes() for x in parts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = _attached(base, spans, "left").select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "text", "a", "b")
+    size = spans.agg(F.sum(F.octet_length("a") + F.octet_length("b") + 64)).first()[0] or 0
+    joined = base.join(F.broadcast(spans) if size <= BROADCAST_BYTES else spans, ["d", "v"], "left").select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "text", "a", "b")
     return arrow_map(joined, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -14,6 +14,7 @@ from tests.conftest import SMALL
 from tidemark import cli, config
 from tidemark.functions import statistics as S
 from tidemark.operators import bars as B
+from tidemark.operators import validation as V
 from tidemark.operators import calibration, context, kernels, projection, report, study, targets
 from tidemark.operators.detectors import REGISTRY, pivots
 from tidemark.plans.oracles import ORACLES
@@ -300,6 +301,30 @@ def test_streamed_bars_and_measures_equal_batch(spark, tmp_path):
     assert live_ofi and all(batch[k] == v for k, v in live_ofi.items())
 
 
+def test_validation(spark):
+    from pyspark.sql import functions as F
+
+    bars = make(spark, walk(20))
+    assert V.check_bars(bars, "H1") is bars and V.timeframe_of(bars) == "H1" and V.aligned(bars, bars.orderBy("high"))
+    assert not V.aligned(bars, bars.limit(3))
+    for wrong in (bars.unionByName(bars.limit(1)), bars.withColumn("high", F.col("low") - 1), bars.withColumn("open", F.lit(float("nan"))), bars.withColumn("volume", F.lit(-1.0))):
+        with pytest.raises(InputError):
+            V.check_bars(wrong)
+    with pytest.raises(InputError):
+        V.timeframe_of(bars.filter("ts <> timestamp'2024-01-01 05:00:00'"))
+    assert V.identity(bars) == {"asset": "X", "timeframe": "H1"}
+    with pytest.raises(InputError):
+        V.identity(bars.unionByName(bars.withColumn("asset", F.lit("Y"))))
+    states = spark.createDataFrame([("STATE_3",), ("INCONNU",)], "regime string").select(V.state_number().alias("n")).collect()
+    assert [r.n for r in states] == [3, -1]
+    with pytest.raises(InputError):
+        V.prepare_prices(bars.limit(2), bars, "H1", "H1")
+    long = context.uniform(REGISTRY["ofi"].detect(bars, "H1", **PARAMETERS["ofi"]), REGISTRY["ofi"], params_hash="a")
+    assert V.prepare_regimes(long, "ofi")[0].filter("usable").count() == 19
+    with pytest.raises(InputError):
+        V.prepare_regimes(long.unionByName(long.withColumn("params_hash", F.lit("b"))), "ofi")
+
+
 def test_configuration(spark, tmp_path, capsys):
     values, origin = config.resolve("atr_volatility", "M5", config.load('{"methods": {"atr_volatility": {"n_atr": 7}}}'), q_bas=0.2)
     assert (values["fenetre"], values["n_atr"], values["q_bas"]) == (6000, 7, 0.2)

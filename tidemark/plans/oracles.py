@@ -354,4 +354,16 @@ SELECT asset, regime, {at('debut')}, {at('fin')}, bars, {rs('net', 'path', 'ampl
     "detector_vpin": detector(vpin(), "lab", {"vpin_value": "r"}),
     "detector_quote_absolute_imbalance_buckets": detector(vpin().replace("vpin_value", "quote_absolute_imbalance"), "lab", {"quote_absolute_imbalance": "r"}, renamed(CALME="DESEQUILIBRE_FAIBLE", NORMAL="DESEQUILIBRE_MOYEN", TOXIQUE="DESEQUILIBRE_ELEVE")),
     "detector_divergence_pv": detector(divergence(), "lab", {"volume_rel": "r", "is_new_high": "v", "is_new_low": "v"}),
+    "bar_checks": f"""WITH {bars()} SELECT asset, count(*) AS n_rows, count_if(open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS not_finite, count_if(least(open, high, low, close) <= 0) AS not_positive,
+count_if(high < greatest(open, close, low)) AS high_too_low, count_if(low > least(open, close, high)) AS low_too_high, count_if(volume < 0 OR bid_volume < 0 OR ask_volume < 0) AS bad_volume FROM bars GROUP BY asset""",
+    "time_checks": f"WITH {bars()} SELECT asset, count(*) AS n_rows, count_if(ts IS NULL) AS no_time, count(*) - count(DISTINCT ts) AS repeated, count_if(CAST(epoch(ts) AS BIGINT) % 14400 <> 0) AS off_grid FROM bars GROUP BY asset",
+    "feature_matrix": f"""WITH a AS (WITH {labelled()} SELECT asset, ts, regime FROM rows), o AS (WITH {ofi()} SELECT asset, ts, CASE WHEN NOT is_partial AND regime <> 'INCONNU' THEN regime END AS regime FROM lab)
+SELECT a.asset, CAST(floor(epoch(a.ts)) AS BIGINT) AS ts, a.regime AS atr_volatility__regime, o.regime AS ofi__regime FROM a JOIN o ON a.asset = o.asset AND a.ts = o.ts""",
+    "nominal_codes": f"""WITH {labelled()}, n AS (SELECT asset, coalesce(regime, 'INCONNU') AS regime, count(*) AS n FROM rows GROUP BY ALL), k AS (SELECT asset, regime, row_number() OVER (PARTITION BY asset ORDER BY regime) - 1 AS code FROM n WHERE regime <> 'INCONNU')
+SELECT n.asset, n.regime, CAST(coalesce(code, -1) AS INTEGER) AS code, n.n FROM n LEFT JOIN k ON k.asset = n.asset AND k.regime = n.regime""",
+    "crossed_labels": f"""WITH a AS (WITH {labelled()} SELECT asset, ts, regime FROM rows), e AS (WITH {er()} SELECT asset, ts, CASE WHEN NOT is_partial AND regime <> 'INCONNU' THEN regime END AS regime FROM lab)
+SELECT a.regime AS a, e.regime AS b, count(*) AS n FROM a JOIN e ON a.asset = e.asset AND a.ts = e.ts WHERE a.regime IS NOT NULL AND e.regime IS NOT NULL GROUP BY ALL""",
+    "clock_baseline": f"""WITH {bars()}, h AS (SELECT asset, high - low AS x, hour({LOCAL}) IN (8, 9, 10, 11) AS hi FROM bars),
+m AS (SELECT asset, count(*) AS n, quantile_cont(x, 0.5) FILTER (hi) AS median_high, quantile_cont(x, 0.5) FILTER (NOT hi) AS median_low FROM h GROUP BY asset)
+SELECT asset, n, {rs('median_high', 'median_low')}, {r('CASE WHEN median_high > 0 AND median_low > 0 THEN ln(median_high) - ln(median_low) END', 'score')} FROM m""",
 }

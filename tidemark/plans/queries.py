@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
-from tidemark.operators import calibration, context, projection, report, study, targets
+from tidemark.operators import calibration, context, projection, report, study, targets, validation
 from tidemark.operators.detectors import REGISTRY
 from tidemark.schema import KEYS, micros
 from tidemark.sources import tables as T
@@ -309,6 +309,40 @@ def atr_volatility_long_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("asset", at(), "regime", r("confidence"))
 
 
+def bar_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.bar_violations(hourly(spark, sf_dir)).drop("timeframe")
+
+
+def time_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.time_violations(hourly(spark, sf_dir), "H4").drop("timeframe")
+
+
+def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars, long = hourly(spark, sf_dir), None
+    for name in ("atr_volatility", "ofi"):
+        rows = context.uniform(REGISTRY[name].detect(bars, "H1", **PARAMETERS[name]), REGISTRY[name])
+        long = rows if long is None else long.unionByName(rows, allowMissingColumns=True)
+    return study.features(study.causal_only(long), ["atr_volatility", "ofi"]).select("asset", at(), "atr_volatility__regime", "ofi__regime")
+
+
+def nominal_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = REGISTRY["atr_volatility"].detect(hourly(spark, sf_dir), "H1", **PARAMETERS["atr_volatility"])
+    return validation.nominal_codes(rows).groupBy("asset", "regime", "code").agg(F.count("*").alias("n"))
+
+
+def crossed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contingency table of two detectors' labels."""
+    bars = hourly(spark, sf_dir)
+    both = projection.cross({n: REGISTRY[n].detect(bars, "H1", **PARAMETERS[n]) for n in ("atr_volatility", "er_kaufman")})
+    return projection.contingency(both, "atr_volatility_regime", "er_kaufman_regime")
+
+
+def clock_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = calibration.clock_baseline(context.sessions(hourly(spark, sf_dir), "H1"), [8, 9, 10, 11])
+    out = calibration.separation(rows.withColumn("span", F.col("high") - F.col("low")), "clock", "span", ["HIGH"], ["LOW"])
+    return out.select("asset", "n", r("median_high"), r("median_low"), r("score"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -316,6 +350,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         session_grid, uniform_rows, forward_targets, rank_correlation, hit_rate, modality_statistics, walk_forward, episode_counts, state_statistics, persistence, transitions,
         confidence_statistics, conditional_statistics, daily_shares, segment_features, segment_purity, overall_purity, pelt_segments, future_efficiency, separation_score,
         stratified_score, centred_volatility, directional_agreement, quantile_thresholds, switches, protocol_measures, bootstrap_effects, atr_volatility_long_frame,
+        bar_checks, time_checks, feature_matrix, nominal_codes, crossed_labels, clock_baseline,
     )
 } | {f"detector_{name}": labelled(name) for name in REGISTRY}
 

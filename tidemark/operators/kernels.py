@@ -119,32 +119,23 @@ def entropy(df: DataFrame, window: int, bins: int) -> DataFrame:
 def bucket_scores(total: np.ndarray, imbalance: np.ndarray, size: float, window: int) -> np.ndarray:
     """The mean imbalance of the last ``window`` full buckets at each row.
 
-    Cumulative imbalance is linear in cumulative volume within a row, so a bucket's imbalance is the
-    difference of two interpolated points. Volume is kept as whole buckets and the share of the open
-    one, so that precision doesn't wear off; a row that spans the whole window is its own ratio.
+    Cumulative imbalance is a piecewise linear function of cumulative volume, both in buckets, so the
+    sum over buckets is the difference of its values at two bucket edges. Edges that lie in one row
+    give that row's own ratio, which spares the difference of two large numbers.
     """
     out = np.full(len(total), np.nan)
-    eps = 8 * np.finfo(float).eps
+    if not len(total):
+        return out
+    volume, held = np.r_[0.0, np.cumsum(total / size)], np.r_[0.0, np.cumsum(imbalance / size)]
+    full = np.floor(volume[1:] + 1e-9)
+    ready = full >= window
+    hi, lo = full[ready], full[ready] - window
+    row = lambda edge, side: np.searchsorted(volume, edge, side)
+    end, begin = row(hi - 1e-9, "left"), row(lo + 1e-9, "left")
     ratio = np.divide(imbalance, total, out=np.zeros(len(total)), where=total > 0)
-    closed: list[float] = []
-    share = inside = 0.0
-    for k, (v, q) in enumerate(zip((total / size).tolist(), ratio.tolist(), strict=True)):
-        if v > 0:
-            if share and (v < 1 - share and 1 - share - v > eps):
-                share, inside, v = share + v, inside + v * q, 0.0
-            elif share:
-                closed.append(min(max(inside + (1 - share) * q, 0.0), 1.0))
-                v, share, inside = max(0.0, v - (1 - share)), 0.0, 0.0
-            if v > 0:
-                whole = math.floor(v)
-                rest = v - whole
-                if 1 - rest <= eps:
-                    whole, rest = whole + 1, 0.0
-                closed += [q] * min(whole, window)
-                share, inside = rest, rest * q
-            del closed[:-window]
-        if len(closed) == window:
-            out[k] = min(max(math.fsum(closed) / window, 0.0), 1.0)
+    at = lambda edge: np.interp(edge, volume, held)
+    same = end == begin
+    out[ready] = np.clip(np.where(same, ratio[np.minimum(end, len(total)) - 1], (at(hi) - at(lo)) / window), 0, 1)
     return out
 
 

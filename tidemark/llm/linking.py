@@ -16,10 +16,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import broadcast_up_to, materialize
 
 #: Rounds after which components must be stars; each round at least halves a path.
 MAX_ROUNDS = 60
+#: Buckets of more than two items are broadcast up to so many (a key and a count each).
+BROADCAST_BUCKETS = 1_000_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -56,22 +58,28 @@ def _stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def link(members: DataFrame, keys: list[str], near: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], payload: list[str], extra: DataFrame | None = None, bound: Callable[[str, str], Column] | None = None) -> DataFrame:
+def link(members: DataFrame, keys: list[str], near: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], payload: list[str], *, alone: dict[str, Column], couple: str, extra: DataFrame | None = None, bound: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, root) of all items that ``near`` links to another.
 
     ``members`` has ``keys`` (the bucket), ``id`` and ``payload`` columns. ``possible(a, b)`` is a
     condition on the payload, prefixed a_ and b_, that no link fails; ``near`` keeps those rows of
-    a frame of distinct (a, b) that are links. ``extra`` (id, extra) is one more payload column for
-    those items that are still to be compared across groups, and ``bound`` a condition on it.
+    a frame of distinct (a, b) that are links. Of a bucket of two the aggregates ``alone`` are
+    enough to tell by ``couple`` whether they can be linked, so only larger buckets are joined with
+    their members again. ``extra`` (id, extra) is one more payload column for those items that are
+    still to be compared across groups, and ``bound`` a condition on it.
     """
-    shared = members.groupBy(*keys).agg(F.count("*").alias("size")).filter("size > 1")
-    held = materialize(members.join(shared, keys), "buckets")
+    size = members.groupBy(*keys).agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), *(c.alias(k) for k, c in alone.items()))
+    shared = materialize(size.filter(f"size > 2 or size = 2 and lo <> hi and ({couple})").select(*keys, "size", "lo", "hi"), "shared")
+    couples = shared.filter("size = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    many = shared.filter("size > 2").select(*keys, "size")
+    held = materialize(members.join(broadcast_up_to(many, BROADCAST_BUCKETS), keys), "buckets")
     # an item that meets more others is nearer to the middle of its group
     degree = held.groupBy("id").agg(F.sum(F.col("size") - 1).alias("degree"))
     heads = held.join(degree, "id").groupBy(*keys).agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), *payload)).alias("head"))
     heads = heads.select(*keys, (-F.col("head.minus")).alias("a"), *(F.col(f"head.{p}").alias(f"a_{p}") for p in payload))
     stars = held.select(*keys, F.col("id").alias("b"), *(F.col(p).alias(f"b_{p}") for p in payload)).join(heads, keys).filter("a <> b").filter(possible("a", "b"))
-    stars = materialize(stars.select("a", "b").distinct(), "stars")
+    stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(couples)
+    stars = materialize(stars.distinct(), "stars")
     first = materialize(near(stars), "links")
     groups = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     marked = held.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -85,7 +93,7 @@ def link(members: DataFrame, keys: list[str], near: Callable[[DataFrame], DataFr
     two = open_.select(*keys, F.col("id").alias("b"), F.col("root").alias("b_root"), *(F.col(p).alias(f"b_{p}") for p in payload))
     meets = possible("a", "b") & bound("a", "b") if bound else possible("a", "b")
     across = one.join(two, keys).filter("a < b and a_root <> b_root").filter(meets).select("a", "b").distinct()
-    across = materialize(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
+    across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
     if across.isEmpty():
         return groups
     second = materialize(near(across), "links")

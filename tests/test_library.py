@@ -270,7 +270,15 @@ def test_study(spark):
     looking = context.uniform(REGISTRY["price_action"].detect(bars, "H1", allow_lookahead=True), REGISTRY["price_action"])
     assert study.causal_only(looking).count() == 0
     assert "## t" in report.markdown("t", study.exclusions(long).collect())
-    assert calibration.grid_search({"a": [1, 2], "b": [3]}, lambda a, b: a * b)[0] == {"a": 2, "b": 3, "score": 6}
+    tried = calibration.grid_search({"a": [1, 2], "b": [3]}, lambda a, b: a * b)
+    assert tried[0] == {"a": 2, "b": 3, "score": 6} and calibration.plateau(tried, "a", 3) == [1, 2]
+    ranked = calibration.terciles(bars, "close")
+    assert [round(r["kappa"], 9) for r in calibration.fidelity(ranked, "tercile", "tercile", [0])] == [1.0]
+    assert sum(r.share for r in calibration.shares(ranked, "tercile").collect()) == pytest.approx(1)
+    goal = bars.join(targets.forward(bars, "H1", ["ret_fwd_1"]), ["asset", "timeframe", "ts"])
+    rows = calibration.terciles(goal, "volume")
+    found = study.block_sensitivity(rows, "tercile", "ret_fwd_1", "H1", [2, 4], rounds=49)
+    assert len(found) == 6 and all(r["adjusted"] is None or r["adjusted"] >= r["p"] for r in found)
 
 
 def test_purge_drops_targets_that_reach_the_test(spark):
@@ -332,6 +340,11 @@ def test_configuration(spark, tmp_path, capsys):
     for text in ('{"methods": {"nope": {}}}', '{"methods": {"ofi": {"x": 1}}}', '{"a": 1}', '{"methods": {"ofi": {"fenetre": 1, "fenetre": 2}}}'):
         with pytest.raises(InputError):
             config.load(text)
+    pytest.importorskip("yaml")
+    assert config.load("methods:\n  ofi:\n    fenetre: 3\n").methods == {"ofi": {"fenetre": 3}}
+    for text in ("methods:\n  ofi: {fenetre: 1, fenetre: 2}\n", "1: 2\n", "a: &x {}\nmethods:\n  <<: *x\n"):
+        with pytest.raises(InputError):
+            config.load(text)
     assert cli.main(["--show-config", "--methods", "ofi"]) == 0 and "fenetre" in capsys.readouterr().out
     assert cli.main(["--timeframes", "H9"]) == 1 and cli.main([]) == 2
 

@@ -54,9 +54,30 @@ def _unique(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
     return out
 
 
+def _yaml(text: str) -> dict[str, Any]:
+    """A YAML mapping, where PyYAML is installed; keys must be distinct strings, and merges are errors."""
+    try:
+        import yaml
+    except ModuleNotFoundError as error:
+        raise InputError("profiles in YAML need PyYAML; JSON needs nothing") from error
+
+    def plain(node: Any) -> Any:
+        if isinstance(node, yaml.MappingNode):
+            for k, _ in node.value:
+                if k.tag != "tag:yaml.org,2002:str":
+                    raise InputError(f"key {k.value!r} is no string")
+            return _unique([(k.value, plain(v)) for k, v in node.value])
+        if isinstance(node, yaml.SequenceNode):
+            return [plain(v) for v in node.value]
+        return yaml.safe_load(yaml.serialize(node))
+
+    root = yaml.compose(text, yaml.SafeLoader)
+    return plain(root) if root is not None else {}
+
+
 def load(text: str, name: str = "profile") -> Profile:
-    """A profile from JSON of {"methods": ..., "by_timeframe": ...}; a key that stands twice is an error."""
-    got = json.loads(text, object_pairs_hook=_unique)
+    """A profile from JSON or YAML of {"methods": ..., "by_timeframe": ...}; a key that stands twice is an error."""
+    got = json.loads(text, object_pairs_hook=_unique) if text.lstrip().startswith("{") else _yaml(text)
     if odd := sorted(set(got) - {"methods", "by_timeframe"}):
         raise InputError(f"unknown keys: {', '.join(odd)}")
     return Profile(name, got.get("methods", {}), got.get("by_timeframe", {}))

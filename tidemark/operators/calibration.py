@@ -95,6 +95,27 @@ def directional_agreement(rows: DataFrame, label: str, up: str, down: str, k: in
     return held.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg(right.cast("double")).alias("agreement"))
 
 
+def fidelity(rows: DataFrame, label: str, reference: str, lags: list[int]) -> list[dict]:
+    """Cohen's kappa of a label with a reference label, the reference taken so many bars later."""
+    out = []
+    for k in lags:
+        shifted = rows.withColumn("__r", W.lead(reference, k) if k >= 0 else W.lag(reference, -k))
+        out.append({"lag": k, "kappa": agreement(shifted, label, "__r")})
+    return out
+
+
+def shares(rows: DataFrame, label: str) -> DataFrame:
+    """Per series and label its share of the labelled bars."""
+    out = rows.filter(F.col(label).isNotNull()).groupBy(*KEYS, label).agg(F.count("*").alias("n"))
+    return out.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*KEYS)))
+
+
+def plateau(found: list[dict], parameter: str, tolerance: float) -> list:
+    """Values of a parameter whose best score comes within a tolerance of the best of all."""
+    best = max(p["score"] for p in found if p["score"] is not None)
+    return sorted({p[parameter] for p in found if p["score"] is not None and best - p["score"] <= tolerance})
+
+
 def grid_search(grid: dict[str, list], score: Callable[..., float]) -> list[dict]:
     """All combinations by falling score; the first is the best."""
     found = [{**dict(zip(grid, x, strict=True))} for x in itertools.product(*grid.values())]

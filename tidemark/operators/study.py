@@ -181,6 +181,16 @@ def bootstrap(rows: DataFrame, feature: str, target: str, timeframe: str, *, blo
     return data.groupBy(*groups, "value").applyInPandas(run, ddl)
 
 
+def block_sensitivity(rows: DataFrame, feature: str, target: str, timeframe: str, blocks: list[int], **options: object) -> list[dict]:
+    """The bootstrap with each of several block sizes, adjusted as one family."""
+    if len(set(blocks)) < 2:
+        raise InputError("a sensitivity needs two block sizes at least")
+    found = [{"block": b, **r.asDict()} for b in sorted(set(blocks)) for r in bootstrap(rows, feature, target, timeframe, block=b, **options).collect()]
+    for r, a in zip(found, S.benjamini_yekutieli([r["p"] for r in found]), strict=True):
+        r["adjusted"] = a
+    return found
+
+
 def stability(tests: DataFrame) -> DataFrame:
     """Per feature, target and value: folds present, mean and bounds of the effect, signs and whether they agree."""
     up, down = F.sum((F.col("effect") > 0).cast("long")), F.sum((F.col("effect") < 0).cast("long"))

@@ -233,6 +233,12 @@ def line_words(line: str) -> list[str]:
     return [w for w in re.split("[\x00-/:-`{-\x7f]+", line.lower()) if w]
 
 
+def pair_hashes(w) -> list[int]:
+    """xxhash64 of each word and the next, as Spark chains the seeds."""
+    one = [xxhash.xxh64_intdigest(y.encode(), 42) for y in w]
+    return [xxhash.xxh64_intdigest(b.encode(), h) for h, b in zip(one, w[1:], strict=False)] + one[-1:]
+
+
 def word_distance(a: list, b: list) -> int:
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -243,7 +249,6 @@ def word_distance(a: list, b: list) -> int:
 
 
 def test_line_dedup(spark, docs, empty, rows):
-    seven = xxhash.xxh64_intdigest(b"\x07\0\0\0", 42)
     classes, places = {}, defaultdict(list)
     order = lambda i: 2**63 - 1 if i is None else i
     for i, t, _ in rows:
@@ -253,7 +258,7 @@ def test_line_dedup(spark, docs, empty, rows):
             if w:
                 places[tuple(w)].append((order(i), int(v), k))
     for w in places:
-        bits = np.array([[x >> b & 1 for b in range(64)] for x in (xxhash.xxh64_intdigest(y.encode(), seven) for y in w)])
+        bits = np.array([[x >> b & 1 for b in range(64)] for x in pair_hashes(w)])
         classes[w] = sum(1 << b for b in range(64) if 2 * bits[:, b].sum() > len(w))
     keys = list(classes)
     sims = np.array([classes[w] for w in keys], np.uint64)

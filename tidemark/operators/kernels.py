@@ -135,7 +135,8 @@ def bucket_scores(total: np.ndarray, imbalance: np.ndarray, size: float, window:
     ratio = np.divide(imbalance, total, out=np.zeros(len(total)), where=total > 0)
     at = lambda edge: np.interp(edge, volume, held)
     same = end == begin
-    out[ready] = np.clip(np.where(same, ratio[np.minimum(end, len(total)) - 1], (at(hi) - at(lo)) / window), 0, 1)
+    score = np.where(same, ratio[np.minimum(end, len(total)) - 1], (at(hi) - at(lo)) / window)
+    out[ready] = np.clip(np.round(score, 12), 0, 1)  # so that a score at a threshold is at it
     return out
 
 

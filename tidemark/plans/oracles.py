@@ -215,7 +215,7 @@ b0 AS (SELECT *, sum(ask_volume + bid_volume) OVER {CARRY} AS u, sum(abs(ask_vol
 edge AS (SELECT b0.asset, k.k, (b0.d - b0.q + (k.k * {size} - (b0.u - b0.v)) * b0.q / b0.v) / {size} AS dk FROM b0, LATERAL (SELECT unnest(range(CAST(floor((b0.u - b0.v) / {size}) AS BIGINT) + 1, CAST(floor(b0.u / {size}) AS BIGINT) + 1)) AS k) k WHERE b0.v > 0),
 ends AS (SELECT * FROM edge UNION ALL SELECT DISTINCT asset, 0, 0.0 FROM b0),
 b1 AS (SELECT b0.*, CAST(floor(u / {size}) AS BIGINT) AS k FROM b0),
-b2 AS (SELECT b1.*, CASE WHEN b1.k >= {w} THEN least(greatest((hi.dk - lo.dk) / {w}, 0), 1) END AS vpin_value FROM b1 LEFT JOIN ends hi ON hi.asset = b1.asset AND hi.k = b1.k LEFT JOIN ends lo ON lo.asset = b1.asset AND lo.k = b1.k - {w}),
+b2 AS (SELECT b1.*, CASE WHEN b1.k >= {w} THEN least(greatest(round((hi.dk - lo.dk) / {w}, 12), 0), 1) END AS vpin_value FROM b1 LEFT JOIN ends hi ON hi.asset = b1.asset AND hi.k = b1.k LEFT JOIN ends lo ON lo.asset = b1.asset AND lo.k = b1.k - {w}),
 lab AS (SELECT *, {cases(("vpin_value < 0.2", "CALME", margin("(0.2 - vpin_value) / 0.2")), ("vpin_value > 0.4", "TOXIQUE", margin("(vpin_value - 0.4) / (1 - 0.4)")), ("vpin_value IS NOT NULL", "NORMAL", "0.5"))} FROM b2)"""
 
 

@@ -11,7 +11,6 @@ is broadcast can exceed that many n-grams, however large the corpus.
 
 from __future__ import annotations
 
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 

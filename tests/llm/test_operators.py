@@ -281,6 +281,40 @@ def test_line_dedup(spark, docs, empty, rows):
     assert linededup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_finds_all_similar_lines(spark, rows):
+    """Against edit similarity of all pairs, with copies planted that differ by up to a fifth of their words."""
+    rng, places = random.Random(5), defaultdict(list)
+    table = [(i, t) for i, t, _ in rows if i is not None and i < 900_000]
+    words = sorted({w for _, t in table for w in line_words(t or "")})[:3000]
+    for length in (5, 6, 8, 10, 15, 20, 30, 50, 100):
+        for k in range(6):
+            one = [rng.choice(words) for _ in range(length)]
+            two = list(one)
+            for at in rng.sample(range(length), max(1, (k % 3 + 1) * length // 15)):
+                two[at] = rng.choice(words)
+            table += [(700_000 + 100 * length + 2 * k, " ".join(one)), (700_001 + 100 * length + 2 * k, " ".join(two))]
+    table += [(800_000, "the the the the the of"), (800_001, "the the the the the and")]
+    for i, t in table:
+        for k, line in enumerate((t or "").split("\n")):
+            if w := line_words(line):
+                places[tuple(w)].append((i, k))
+    keys = sorted(places, key=len)
+    bags, edges = [Counter(w) for w in keys], []
+    for x, a in enumerate(keys):
+        for y in range(x + 1, len(keys)):
+            most = len(keys[y])
+            if 100 * len(a) < 80 * most:
+                break
+            if 100 * (bags[x] & bags[y]).total() >= 80 * most and 100 * (most - word_distance(a, keys[y])) >= 80 * most:
+                edges.append((x, y))
+    root, winner = groups_of(edges, range(len(keys))), {}
+    for x, w in enumerate(keys):
+        winner[root[x]] = min([winner.get(root[x], (2**63, 0)), *places[w]])
+    want = {p for x, w in enumerate(keys) for p in places[w] if p != winner[root[x]]}
+    df = linededup._versioned(spark.createDataFrame(table, "doc_id long, text string")).select("doc_id", "text")
+    assert {(d, line) for d, _, line in linededup.duplicates(df).collect()} == want and len(edges) > 50
+
+
 def test_repeats(docs, empty, rows):
     order = lambda i: 2**63 - 1 if i is None else i
     first = {}

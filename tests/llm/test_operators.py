@@ -367,6 +367,16 @@ def test_perplexity_bands_reject_noise(spark, docs):
     assert len(got) == 2 and not any(r.kept for r in got) and not any(r.base_failed for r in got)
 
 
+def test_quality_rejects_symbol_junk(spark):
+    folder = "/root/testdata/sf0.01"
+    quality_of = dict(duckdb.sql(f"SELECT doc_id, quality FROM '{folder}/labels.parquet'").fetchall())
+    judged = [r for r in queries.op9_quality(spark, folder).collect() if not r.base_failed]
+    junk = [r.kept for r in judged if r.n_symbols > 0.3 * r.n_words]
+    good = [r.kept for r in judged if quality_of.get(r.doc_id) == 1]
+    assert len(junk) > 30 and np.mean(junk) < 0.05
+    assert len(good) > 200 and np.mean(good) > 0.99
+
+
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, docs, empty, rows, width, percent):
     lower = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})

@@ -1,14 +1,16 @@
 """Quality rules: counts of words, symbols, repeats, and the perplexity of an n-gram model.
 
 The model is a modified Kneser-Ney model of character n-grams of order ``ORDER`` for each
-language, counted by Spark over all rows and kept in sorted hash arrays (see charlm). Characters
-rather than words are its units since their table is bounded whatever the corpus. A document is
-rejected when its perplexity lies outside its language's band; bands come from the quartiles of
-all documents' own log-perplexities, widened for short texts.
+language, counted by Spark and kept in sorted hash arrays (see charlm). It counts the documents that
+are labelled good, or all of a language that has none such, and a text is judged by a model that has
+not counted it or its copies: texts are dealt into ``FOLDS``, and each fold is judged by a model of
+the others. A document is rejected when its perplexity lies outside its language's band; bands come
+from the quartiles of the good documents' log-perplexities, widened for short texts.
 
 Defined cases: a null text has no words, fails the base rules and isn't kept; a null language is
-a language of its own; repeated rows are judged alike; an empty table gives no rows; further
-columns are ignored.
+a language of its own; a text of a language without a text in another fold has no bits and is left
+to the base rules; repeated rows are judged alike; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import charlm
 from tidemark.llm.arrowtext import U64, Powers, buffers, chunks, mix, shingles, span_hashes, words
-from tidemark.session import arrow_map, materialize
+from tidemark.session import arrow_map, broadcast_up_to, materialize
 
 ORDER = 5
 NO_LANGUAGE = "und"
+#: Each text is judged by a model of the other folds.
+FOLDS = 2
+#: Ids of good documents are broadcast up to so many; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 #: Bands reach this many interquartile ranges and bits beyond the quartiles; a text of n characters gets LENGTH_BITS / sqrt(n) more.
 BAND_IQR, BAND_BITS, LENGTH_BITS = 4.0, 0.35, 12.0
 _SYMBOL = np.zeros(256, bool)
@@ -113,16 +119,32 @@ def text_stats(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def fit(docs: DataFrame) -> charlm.CharModel:
-    """The perplexity model of the languages of ``docs``, from all their texts."""
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("label")).filter("text is not null")
-    languages = sorted(r[0] for r in rows.select("label").distinct().collect())
-    return charlm.build(charlm.count(rows, ORDER, languages, letters_only=False), ORDER, languages, letters_only=False, modified=True)
+def marked(docs: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(doc_id, text, lang, good, fold) of each row: whether it's labelled good, or no row of its language is, and its fold.
 
+    Equal texts are of one fold, so that a model of the other has counted none of them.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
+    rows = rows.withColumn("fold", (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) % FOLDS).cast("int"))
+    if labels is None:
+        return rows.withColumn("good", F.lit(True))
+    ids = materialize(labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("__good")).dropDuplicates(["doc_id"]), "good")
+    rows = rows.join(broadcast_up_to(ids, BROADCAST_ROWS), "doc_id", "left").withColumn("good", F.col("__good").isNotNull()).drop("__good")
+    known = [r[0] for r in rows.filter("good and text is not null").select("lang").distinct().collect()]
+    return rows.withColumn("good", F.col("good") | ~F.col("lang").isin(known))
 
-def measure(docs: DataFrame, model: charlm.CharModel) -> DataFrame:
-    """doc_id, language, the STATS, characters and bits a character (the log2 of the perplexity) of each text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+def fit(rows: DataFrame) -> charlm.CharModel:
+    """The perplexity models of ``marked`` rows, from the good ones: for each language and fold, one that has counted the other folds alone."""
+    own = F.explode(F.array_remove(F.sequence(F.lit(0), F.lit(FOLDS - 1)), F.col("fold"))).alias("of")
+    taught = rows.filter("good and text is not null").select("text", "lang", own).select("text", F.concat_ws(":", "of", "lang").alias("label"))
+    classes = sorted(r[0] for r in taught.select("label").distinct().collect())
+    return charlm.build(charlm.count(taught, ORDER, classes, letters_only=False), ORDER, classes, letters_only=False, modified=True)
+
+
+def measure(rows: DataFrame, model: charlm.CharModel) -> DataFrame:
+    """doc_id, language, good, the STATS, characters and bits a character (the log2 of the perplexity; null without a model) of each text."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -131,19 +153,19 @@ def measure(docs: DataFrame, model: charlm.CharModel) -> DataFrame:
             stats = text_stats(batch.column(1))
             lang = batch.column(2)
             size, bits, _ = model.score(batch.column(1))
-            own = np.array([number.get(x, 0) for x in lang.to_pylist()], np.int64)
-            value = bits[np.arange(len(own)), own] / np.maximum(size, 1) if len(model.classes) else np.zeros(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lang, *(pa.array(stats[k]) for k in STATS), pa.array(size), pa.array(value, pa.float64())], ["doc_id", "lang", *STATS, "n_chars", "bits"])
+            own = np.array([number.get(f"{f}:{x}", -1) for f, x in zip(batch.column(4).to_pylist(), lang.to_pylist(), strict=True)], np.int64)
+            value = bits[np.arange(len(own)), np.maximum(own, 0)] / np.maximum(size, 1) if len(model.classes) else np.zeros(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lang, batch.column(3), *(pa.array(stats[k]) for k in STATS), pa.array(size), pa.array(value, pa.float64(), mask=own < 0)], ["doc_id", "lang", "good", *STATS, "n_chars", "bits"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"))
-    return arrow_map(rows, run, "doc_id long, lang string, " + ", ".join(f"{k} long" for k in STATS) + ", n_chars long, bits double")
+    return arrow_map(rows.select("doc_id", "text", "lang", "good", "fold"), run, "doc_id long, lang string, good boolean, " + ", ".join(f"{k} long" for k in STATS) + ", n_chars long, bits double")
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """``measure`` with base_failed, the band (low_bits, high_bits) and kept."""
-    measured = materialize(measure(docs, fit(docs)), "quality")
+def judge(docs: DataFrame, labels: DataFrame | None = None) -> DataFrame:
+    """``measure`` with base_failed, the band (low_bits, high_bits) and kept. ``labels`` (doc_id, quality 0/1) name good documents."""
+    rows = marked(docs, labels)
+    measured = materialize(measure(rows, fit(rows)), "quality")
     bands = (
-        measured.filter("n_words > 0")
+        measured.filter("good and n_words > 0")
         .groupBy("lang")
         .agg(F.percentile_approx("bits", [0.25, 0.75], 1000).alias("q"))
         .select("lang", (F.col("q")[0] - BAND_BITS - BAND_IQR * (F.col("q")[1] - F.col("q")[0])).alias("low_bits"), (F.col("q")[1] + BAND_BITS + BAND_IQR * (F.col("q")[1] - F.col("q")[0])).alias("high_bits"))
@@ -151,7 +173,7 @@ def judge(docs: DataFrame) -> DataFrame:
     slack = LENGTH_BITS / F.sqrt(F.greatest(F.col("n_chars"), F.lit(1)))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return (
-        measured.join(F.broadcast(bands), "lang", "left")  # a row for each language of the model
+        measured.drop("good").join(F.broadcast(bands), "lang", "left")  # a row for each language of the model
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & F.coalesce(F.col("bits").between(F.col("low_bits") - slack, F.col("high_bits") + slack), F.lit(True)))
     )

@@ -211,6 +211,29 @@ def test_kneser_ney_probabilities_add_up(docs):
     assert len(seen.keys) >= 26
 
 
+def test_ngram_counts_are_exact(spark, monkeypatch):
+    from tidemark.llm import charlm
+
+    monkeypatch.setattr(charlm, "HELD", 20_000)  # merged often in the driver's part below
+    rng = np.random.default_rng(4)
+    texts = [("".join(map(chr, rng.integers(0x4E00, 0x9000, 5_000))), "zh") for _ in range(40)] + [("the same words again and again " * 50, "en")] * 3
+    want = Counter()
+    for t, label in texts:
+        line = "    " + " ".join(t.split()) + (" " if t.endswith(" ") else "")
+        want.update((label, line[k : k + 5]) for k in range(len(line) - 4))
+    table = charlm.count(spark.createDataFrame(texts, "text string, label string").repartition(3), 5, ["en", "zh"], letters_only=False).toArrow()
+    n, a, b = (table.column(k).to_numpy().astype(np.int64) for k in range(3))
+    cols, who = charlm._unpacked(a, b, 5)
+    got = {(("en", "zh")[w], "".join(map(chr, g))): c for w, c, *g in zip(who, n, *cols, strict=True)}
+    assert len(got) == len(n) and got == want
+    tally = charlm._Tally()
+    for k in range(30):
+        x = np.arange(5_000) + 2_500 * (k % 3)
+        tally.add(x.astype(np.uint64) % 97, np.ones(5_000, np.int64), x, x)
+    batches = list(tally.out())
+    assert sum(r.num_rows for r in batches) >= 10_000 and sum(sum(r.column(0).to_pylist()) for r in batches) == 150_000
+
+
 def test_decontamination(spark, docs, empty, rows):
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     more = spark.createDataFrame([(5001, None), (5002, ""), (5003, "two words"), (5004, "The same text stands here twice, with enough words in it to be found")], "item_id long, text string")

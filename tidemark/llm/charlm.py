@@ -4,9 +4,9 @@ A model knows some classes (languages). For each order it has the union of the c
 as a sorted array of 64-bit hashes, and for each a row of probabilities, one for each class, so
 that one lookup answers for all of them. What the classes share is one directory by leading bits.
 
-Counting covers every document. An n-gram is counted in one of ``2**slot_bits`` slots chosen by
-the hash of class and n-gram, so neither a task, nor what the driver gathers, nor the model that
-is broadcast can exceed that many n-grams, however large the corpus.
+Counting covers every document and is exact: no two n-grams share a count. Tasks count what they
+read, Spark adds up by class and n-gram, and a task holds a bounded number of counts. The model grows
+with the distinct n-grams of the corpus; the driver gathers all of them.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.arrowtext import U64, buffers, chunks, mix
 from tidemark.session import arrow_map
 
-SLOT_BITS = 21
+#: Rows of new counts at which a task merges them, and distinct n-grams at which it sends what it has.
+HELD, FLUSH = 500_000, 1_000_000
 BLANK = 32
 _M = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _FOLD: dict[str, np.ndarray] = {}
@@ -106,16 +107,52 @@ def letters_in(column: pa.Array) -> np.ndarray:
     return out
 
 
-def count(docs: DataFrame, order: int, classes: list[str], *, letters_only: bool, slot_bits: int = SLOT_BITS) -> DataFrame:
-    """(class number, n-gram as two longs, count) over all rows of (text, label), at most 2**slot_bits of them.
+class _Tally:
+    """Exact counts of packed n-grams, as parts that are merged whenever they have HELD new rows."""
 
-    Counts are kept in dense arrays in a task, so a task sends each slot once.
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.new = 0
+
+    def add(self, *part: np.ndarray) -> None:
+        self.parts.append(_summed(*part))
+        self.new += len(self.parts[-1][0])
+        if self.new > HELD:
+            self.merge()
+
+    def merge(self) -> None:
+        if len(self.parts) > 1:
+            self.parts = [_summed(*(np.concatenate(c) for c in zip(*self.parts, strict=True)))]
+        self.new = 0
+
+    def full(self) -> bool:
+        return bool(self.parts) and len(self.parts[0][0]) > FLUSH
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for _, n, a, b in self.parts:
+            for k in range(0, len(n), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]) for x in (n, a, b)], ["n", "a", "b"])
+        self.parts, self.new = [], 0
+
+
+def _summed(h: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows of equal (a, b) as one with the sum of n, in order of their hash. Two n-grams of one hash are never one row."""
+    order = np.argsort(h)
+    h, n, a, b = h[order], n[order], a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(h)])
+    return h[first], np.add.reduceat(n, first) if len(first) else n, a[first], b[first]
+
+
+def count(docs: DataFrame, order: int, classes: list[str], *, letters_only: bool) -> DataFrame:
+    """(count, class and n-gram as two longs) of each distinct n-gram of a class, over all rows of (text, label).
+
+    A task sends each n-gram once, or again whenever it holds over ``FLUSH`` of them.
     """
     number = {c: i for i, c in enumerate(classes)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 1 << slot_bits
-        total, a, b = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+        tally = _Tally()
         for batch in batches:
             label = np.array([number.get(x, -1) for x in batch.column(1).to_pylist()], np.int64)
             raw, offsets = buffers(batch.column(0))
@@ -125,16 +162,14 @@ def count(docs: DataFrame, order: int, classes: list[str], *, letters_only: bool
                 place, who = place[who >= 0], who[who >= 0]
                 cols = [line[place - order + 1 + k] for k in range(order)]
                 with np.errstate(over="ignore"):
-                    slot = (mix(gram_hash(cols) + who.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - slot_bits)).astype(np.int64)
-                total += np.bincount(slot, minlength=n)
-                a[slot], b[slot] = _packed(cols, who)
-        at = np.flatnonzero(total)
-        for k in range(0, len(at), 100_000):
-            p = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(total[p]), pa.array(a[p]), pa.array(b[p])], ["slot", "n", "a", "b"])
+                    h = mix(gram_hash(cols) + who.astype(U64) * U64(0x9E3779B97F4A7C15))
+                tally.add(h, np.ones(len(h), np.int64), *_packed(cols, who))
+                if tally.full():
+                    yield from tally.out()
+        yield from tally.out()
 
-    got = arrow_map(docs.select(F.col("text").cast("string"), F.col("label").cast("string")), run, "slot long, n long, a long, b long")
-    return got.groupBy("slot").agg(F.sum("n").alias("n"), F.min(F.struct("a", "b")).alias("g")).select("n", "g.a", "g.b")
+    got = arrow_map(docs.select(F.col("text").cast("string"), F.col("label").cast("string")), run, "n long, a long, b long")
+    return got.groupBy("a", "b").agg(F.sum("n").alias("n")).select("n", "a", "b")
 
 
 def _packed(cols: list[np.ndarray], who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -247,7 +282,7 @@ def _discounts(c: np.ndarray, modified: bool) -> np.ndarray:
 
 
 def build(counted: DataFrame, order: int, classes: list[str], *, letters_only: bool, modified: bool) -> CharModel:
-    """The interpolated model of counted n-grams; the bound of ``count`` holds for what the driver gathers."""
+    """The interpolated model of counted n-grams, which the driver gathers."""
     table = counted.toArrow()
     n, a, b = (table.column(k).to_numpy().astype(np.int64) for k in range(3))
     cols, who = _unpacked(a, b, order)

@@ -95,6 +95,20 @@ def test_licenses(docs, empty, rows, spark):
         assert any(a in sentence for a in licenses.ANCHORS) or name in ("ApacheCopy", "ApacheUrl", "MitGrant", "MitNotice", "BsdIntro", "BsdEndorse", "BsdSource", "BsdBinary", "MitLiability", "IscGrant", "GplSee", "AllRights"), sentence
 
 
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    mit = "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + textwrap.fill('Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', 78)
+    mit += "\n\n" + textwrap.fill("The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 78)
+    bsd = [licenses.SENTENCES[k][0] for k in ("BsdIntro", "BsdSource", "BsdBinary")]
+    bsd = "\n".join(textwrap.fill(s, 60, initial_indent=" * ", subsequent_indent=" * ") + (":\n *" if k == 0 else ".") for k, s in enumerate(bsd))
+    gpl = "\n".join("# " + x for s in (licenses.SENTENCES["GplFree3"][0], licenses.SENTENCES["GplWarranty"][0], licenses.SENTENCES["GplSee"][0]) for x in textwrap.wrap(s + ".", 70))
+    texts = [mit, bsd, gpl, mit.replace("MIT License\n\nCopyright (c) 2020 A. Person\n\n", "MIT License\n"), "unknown words\nmit license\nmore words", "known\nlicensed under the\n\nmit license version"]
+    df = spark.createDataFrame([(i, t.replace("\n", "\r\n") if i == 0 else t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.licenses, r.n_sentences, r.n_unmatched) for r in licenses.scan(df).collect()}
+    assert got == {0: (["MIT"], 3, 2), 1: (["BSD-2-Clause"], 3, 0), 2: (["GPL-3.0-or-later"], 3, 0), 3: (["MIT"], 3, 2), 4: (["MIT"], 1, 0), 5: ([], 0, 0)}
+
+
 def test_packing(docs, empty, rows):
     from tokenizers import Tokenizer
 

@@ -1,7 +1,9 @@
 """Licence scans by sentence rules.
 
 A text is cut into sentences, each sentence normalised (lower case, runs of other characters than
-ASCII letters and digits as one blank), and looked up among known licence sentences. The known
+ASCII letters and digits as one blank), and looked up among known licence sentences. A sentence is
+one line, or else several adjoining ones: a newline, with any comment signs, then counts as a blank,
+but a line without letters and digits ends the sentence. The known
 identifiers of a document, in order, are then matched against ordered rules: an earlier rule takes
 its identifiers before a later one can.
 
@@ -92,8 +94,9 @@ RULES = [
 # Each known sentence has one of these words.
 ANCHORS = ["license", "licensed", "copyright", "warranty", "cc0"]
 
-END = "[.!?;:]+(?:[ \\t\\r\\n\\f]+|\\z)|\\n+"
-CUT = "\u001f"
+END = "[.!?;:]+(?:[ \\t\\r\\n\\f]+|\\z)"
+#: What stands between sentences, and between lines of a sentence.
+CUT, WRAP = "\u001f", "\u001e"
 
 
 def known() -> dict[str, str]:
@@ -101,13 +104,21 @@ def known() -> dict[str, str]:
     return {s: k for k, all_of in SENTENCES.items() for s in all_of}
 
 
+def _pattern() -> str:
+    """Known sentences between cuts or wraps: those on one line first, then those over several, longer ones before shorter."""
+    longest = sorted(known(), key=lambda x: (-len(x), x))
+    both = longest + [x.replace(" ", f"[ {WRAP}]") for x in longest]
+    return f"(?<![a-z0-9 ])(?:{'|'.join(both)})(?![a-z0-9 ])"
+
+
 def _identifiers(text: Column) -> Column:
     """The known identifiers in order, each in angle brackets, as one string."""
     table = F.create_map(*[F.lit(x) for pair in known().items() for x in pair])
-    parts = F.split(F.regexp_replace(text, END, CUT), CUT)
-    clean = F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    found = F.filter(F.transform(clean, lambda s: F.try_element_at(table, s)), lambda k: k.isNotNull())
-    return F.array_join(F.transform(found, lambda k: F.concat(F.lit("<"), k, F.lit(">"))), "")
+    marked = F.regexp_replace(F.regexp_replace(F.lower(text), END, CUT), "\\n", WRAP)
+    clean = F.regexp_replace(F.regexp_replace(marked, f"[^a-z0-9{WRAP}{CUT}]+", " "), f" *([{WRAP}{CUT}]) *", "$1")
+    clean = F.trim(F.regexp_replace(clean, f"{WRAP}{{2,}}", CUT))
+    found = F.regexp_extract_all(clean, F.lit(_pattern()), F.lit(0))
+    return F.array_join(F.transform(found, lambda s: F.concat(F.lit("<"), F.try_element_at(table, F.translate(s, WRAP, " ")), F.lit(">"))), "")
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -95,6 +95,13 @@ def test_licenses(docs, empty, rows, spark):
         assert any(a in sentence for a in licenses.ANCHORS) or name in ("ApacheCopy", "ApacheUrl", "MitGrant", "MitNotice", "BsdIntro", "BsdEndorse", "BsdSource", "BsdBinary", "MitLiability", "IscGrant", "GplSee", "AllRights"), sentence
 
 
+def test_each_license_sentence_passes_the_prefilter(spark):
+    sentences = list(licenses.known())
+    assert all(any(a in s for a in licenses.ANCHORS) for s in sentences)
+    got = licenses.scan(spark.createDataFrame(list(enumerate(sentences)), "doc_id long, text string")).collect()
+    assert all(r.n_sentences == 1 for r in got) and len(got) == len(sentences)
+
+
 def test_wrapped_licenses(spark):
     import textwrap
 

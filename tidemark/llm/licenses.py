@@ -92,7 +92,7 @@ RULES = [
     ("Proprietary", ["AllRights"]),
 ]
 # Each known sentence has one of these words.
-ANCHORS = ["license", "licensed", "copyright", "warranty", "cc0"]
+ANCHORS = ["license", "licensed", "copyright", "warranty", "cc0", "redistribution"]
 
 END = "[.!?;:]+(?:[ \\t\\r\\n\\f]+|\\z)"
 #: What stands between sentences, and between lines of a sentence.

@@ -1,9 +1,11 @@
 """Groups of similar items from shared buckets, without all pairs of a bucket.
 
 Items meet in buckets. First each item is compared with its bucket's head alone, the one that
-meets most others; verified links join items into groups. Only items that share a bucket and still are in different groups
-are then compared with each other, so no link between groups is lost, and a large group of alike
-items costs a comparison each rather than one for each pair.
+meets most others; verified links join items into groups. A CROWDED bucket has a head for each class
+of sizes, and its items are compared with the heads of their own class and the next ones. Only items that share a
+bucket and still are in different groups are then compared with each other, so a large group of alike
+items costs a few comparisons each rather than one for each pair. Items of different groups in a crowded bucket
+are first dealt into smaller buckets by what else they may have in common.
 
 Groups are connected components by alternating large and small stars, in Spark's own operators:
 edges shrink towards stars around each component's least item, a few rounds of two aggregations.
@@ -11,6 +13,7 @@ edges shrink towards stars around each component's least item, a few rounds of t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,8 @@ from tidemark.session import broadcast_up_to, materialize
 
 #: Rounds after which components must be stars; each round at least halves a path.
 MAX_ROUNDS = 60
+#: Items of a bucket from which on it is split, and the ratio of sizes of one class there.
+CROWDED, CLASS = 256, 1.12
 #: Buckets of more than two items are broadcast up to so many (a key and a count each).
 BROADCAST_BUCKETS = 1_000_000
 
@@ -58,15 +63,28 @@ def _stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def link(members: DataFrame, keys: list[str], near: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], payload: list[str], *, alone: dict[str, Column], couple: str, extra: DataFrame | None = None, bound: Callable[[str, str], Column] | None = None) -> DataFrame:
+def pairs_of_keys(crowded: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
+    """Crowded buckets split by the other crowded buckets of their items: items meet that share two.
+
+    Items that share a crowded bucket and one that isn't are compared in the latter.
+    """
+    one = crowded.withColumn("key", F.xxhash64(*keys)).select("id", "root", *payload, "key")
+    two = one.select(F.col("id").alias("__id"), F.col("key").alias("__key"))
+    both = one.join(two, (F.col("id") == F.col("__id")) & (F.col("key") < F.col("__key")))
+    return both.select("id", "root", *payload, F.xxhash64("key", "__key").alias("key"))
+
+
+def link(members: DataFrame, keys: list[str], near: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], payload: list[str], *, alone: dict[str, Column], couple: str, resplit: Callable[[DataFrame], DataFrame], extra: DataFrame | None = None, bound: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, root) of all items that ``near`` links to another.
 
-    ``members`` has ``keys`` (the bucket), ``id`` and ``payload`` columns. ``possible(a, b)`` is a
-    condition on the payload, prefixed a_ and b_, that no link fails; ``near`` keeps those rows of
-    a frame of distinct (a, b) that are links. Of a bucket of two the aggregates ``alone`` are
-    enough to tell by ``couple`` whether they can be linked, so only larger buckets are joined with
-    their members again. ``extra`` (id, extra) is one more payload column for those items that are
-    still to be compared across groups, and ``bound`` a condition on it.
+    ``members`` has ``keys`` (the bucket), ``id`` and ``payload`` columns, the first of which is the
+    item's size. ``possible(a, b)`` is a condition on the payload, prefixed a_ and b_, for links;
+    ``near`` keeps those rows of a frame of distinct (a, b) that are links. Of a bucket of two the
+    aggregates ``alone`` are enough to tell by ``couple`` whether they can be linked, so only larger
+    buckets are joined with their members again. ``resplit`` deals rows of crowded buckets that hold
+    different groups into smaller ones, each with a ``key``. ``extra`` (id, extra) is one more
+    payload column for those items that are still to be compared across groups, and ``bound`` a
+    condition on it.
     """
     size = members.groupBy(*keys).agg(F.count("*").alias("size"), F.min("id").alias("lo"), F.max("id").alias("hi"), *(c.alias(k) for k, c in alone.items()))
     shared = materialize(size.filter(f"size > 2 or size = 2 and lo <> hi and ({couple})").select(*keys, "size", "lo", "hi"), "shared")
@@ -75,24 +93,33 @@ def link(members: DataFrame, keys: list[str], near: Callable[[DataFrame], DataFr
     held = materialize(members.join(broadcast_up_to(many, BROADCAST_BUCKETS), keys), "buckets")
     # an item that meets more others is nearer to the middle of its group
     degree = held.groupBy("id").agg(F.sum(F.col("size") - 1).alias("degree"))
-    heads = held.join(degree, "id").groupBy(*keys).agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), *payload)).alias("head"))
-    heads = heads.select(*keys, (-F.col("head.minus")).alias("a"), *(F.col(f"head.{p}").alias(f"a_{p}") for p in payload))
-    stars = held.select(*keys, F.col("id").alias("b"), *(F.col(p).alias(f"b_{p}") for p in payload)).join(heads, keys).filter("a <> b").filter(possible("a", "b"))
+    crowd = F.col("size") > CROWDED
+    part = F.when(crowd, F.floor(F.log(F.greatest(F.col(payload[0]), F.lit(1))) / math.log(CLASS))).otherwise(F.lit(0)).cast("int")
+    placed = held.withColumn("part", part)
+    heads = placed.join(degree, "id").groupBy(*keys, "part").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), *payload)).alias("head"))
+    heads = heads.select(*keys, "part", (-F.col("head.minus")).alias("a"), *(F.col(f"head.{p}").alias(f"a_{p}") for p in payload))
+    parts = F.explode(F.when(crowd, F.array(F.col("part") - 1, "part", F.col("part") + 1)).otherwise(F.array("part"))).alias("part")
+    stars = placed.select(*keys, F.col("id").alias("b"), *(F.col(p).alias(f"b_{p}") for p in payload), parts)
+    stars = stars.join(heads, [*keys, "part"]).filter("a <> b").filter(possible("a", "b"))
     stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(couples)
     stars = materialize(stars.distinct(), "stars")
     first = materialize(near(stars), "links")
     groups = components(first.select(F.col("a").alias("u"), F.col("b").alias("v")))
     marked = held.join(groups.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     mixed = marked.groupBy(*keys).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select(*keys)
-    open_ = marked.join(mixed, keys, "left_semi").select(*keys, "id", "root", *payload)
+    open_ = materialize(marked.join(mixed, keys, "left_semi").select(*keys, "size", "id", "root", *payload), "open")
+    apart = open_.filter(~crowd).select("id", "root", *payload, F.xxhash64(*keys).alias("key"))
+    if not open_.filter(crowd).isEmpty():
+        split = materialize(resplit(open_.filter(crowd).select(*keys, "id", "root", *payload)), "split")
+        mixed = split.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("key", "size")
+        apart = apart.unionByName(split.join(mixed, "key", "left_semi").select("id", "root", *payload, "key"))
     if extra is not None:
-        open_ = open_.join(extra, "id")
+        apart = apart.join(extra, "id")
         payload = [*payload, "extra"]
-    open_ = materialize(open_, "open")
-    one = open_.select(*keys, F.col("id").alias("a"), F.col("root").alias("a_root"), *(F.col(p).alias(f"a_{p}") for p in payload))
-    two = open_.select(*keys, F.col("id").alias("b"), F.col("root").alias("b_root"), *(F.col(p).alias(f"b_{p}") for p in payload))
+    one = apart.select("key", F.col("id").alias("a"), F.col("root").alias("a_root"), *(F.col(p).alias(f"a_{p}") for p in payload))
+    two = apart.select("key", F.col("id").alias("b"), F.col("root").alias("b_root"), *(F.col(p).alias(f"b_{p}") for p in payload))
     meets = possible("a", "b") & bound("a", "b") if bound else possible("a", "b")
-    across = one.join(two, keys).filter("a < b and a_root <> b_root").filter(meets).select("a", "b").distinct()
+    across = one.join(two, "key").filter("a < b and a_root <> b_root").filter(meets).select("a", "b").distinct()
     across = materialize(across.join(stars, ["a", "b"], "left_anti"), "across")
     if across.isEmpty():
         return groups

@@ -1,13 +1,15 @@
 """Benchmark decontamination: containment of short items in long documents.
 
 A document holds an item when it has at least ``percent`` of the item's distinct shingles. Items
-are dealt into size partitions, and each has a bottom-k MinHash sketch: its k shingles of least
-hash, where k follows from its size so that a document that lacks all k must lack too many. So a
-document that holds an item always meets one of its sketch, and candidates are complete; each is
-then verified by counting the item's shingles in the whole document.
+are dealt into partitions by size, a power of two each, and sketched by bottom-k MinHash: their k
+shingles of least hash, with one k for a partition. A document is searched for the partitions of which
+it has shingles enough for the smallest item, and its share of an item's sketch estimates the containment. The
+bound on that estimate loses nothing: who holds an item lacks so few of its shingles that it has at
+least SURE of the sketch, or all it needs of a small item. Each candidate is then verified by counting the item's
+shingles in the whole document.
 
 Everything is DataFrame functions. A text's shingles are exploded as hashes and joined with the
-sketches, which Spark broadcasts below its size threshold and else joins by a shuffle. Texts are
+sketches, which are broadcast up to a number of rows and else joined by a shuffle. Texts are
 read once more for the candidates alone.
 
 Defined cases: a null text has no shingle; a text of fewer words than a shingle has its whole
@@ -22,12 +24,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import broadcast_up_to, materialize
 
 #: ASCII white space, as a class for Java's and DuckDB's expressions.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 #: Candidates are broadcast up to so many rows (three longs each); beyond, texts are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Shingles of a sketch that a document with the item has at least, and rows of sketches broadcast at most (24 bytes each).
+SURE, SKETCH_ROWS = 3, 1_000_000
 
 
 def shingle_hashes(rows: DataFrame, text: str, out: str, width: int) -> DataFrame:
@@ -46,22 +50,32 @@ def shingle_hashes(rows: DataFrame, text: str, out: str, width: int) -> DataFram
 
 
 def item_shingles(items: DataFrame, width: int, percent: int) -> DataFrame:
-    """(item_id, s, n, need, part, in_sketch): each distinct shingle of an item, its size and size partition."""
+    """(item_id, s, n, need, part, hits, in_sketch): each distinct shingle of an item, its size, how many of them and of the sketch are needed."""
     rows = shingle_hashes(items.select(F.col("item_id").cast("long").alias("item_id"), "text"), "text", "__s", width)
     each = rows.select("item_id", F.explode_outer("__s").alias("s")).filter("s is not null").distinct()
     own = Window.partitionBy("item_id")
     ranked = each.withColumn("n", F.count("*").over(own)).withColumn("rank", F.row_number().over(own.orderBy("s")))
-    need = F.ceil(F.col("n") * percent / 100)
-    return ranked.withColumn("need", need).withColumn("part", F.floor(F.log2("n")).cast("int")).withColumn("in_sketch", F.col("rank") <= F.col("n") - F.col("need") + 1).drop("rank")
+    needed = lambda n: F.ceil(n * percent / 100)
+    sized = ranked.withColumn("need", needed(F.col("n"))).withColumn("part", F.floor(F.log2("n")).cast("int"))
+    largest = F.pow(F.lit(2), F.col("part") + 1).cast("long") - 1
+    k = F.least(F.col("n"), largest - needed(largest) + SURE)
+    return sized.withColumn("hits", k - (F.col("n") - F.col("need"))).withColumn("in_sketch", F.col("rank") <= k).drop("rank")
+
+
+def _candidates(rows: DataFrame, each: DataFrame, width: int, percent: int) -> DataFrame:
+    """(d, version, item_id) of documents that have enough of an item's sketch."""
+    sketches = materialize(each.filter("in_sketch").select("item_id", "s", "part", "hits"), "sketches")
+    texts = shingle_hashes(rows, "text", "__s", width).select("doc_id", "version", F.size("__s").alias("size"), F.explode_outer("__s").alias("s"))
+    met = texts.join(broadcast_up_to(sketches, SKETCH_ROWS), "s").filter(F.col("size") >= F.ceil(F.pow(F.lit(2), "part") * percent / 100))
+    met = met.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "version", "item_id", "s").agg(F.first("hits").alias("hits"))
+    return met.groupBy("d", "version", "item_id").agg(F.count("*").alias("met"), F.first("hits").alias("hits")).filter("met >= hits").select("d", "version", "item_id")
 
 
 def contained(docs: DataFrame, items: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, item_id, n_shared, n_shingles) of each item that a document holds."""
     each = materialize(item_shingles(items, width, percent), "items")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("version", F.xxhash64("text"))
-    sketches = each.filter("in_sketch").select("item_id", "s")
-    met = shingle_hashes(rows, "text", "__s", width).select("doc_id", "version", F.explode_outer("__s").alias("s")).join(sketches, "s")
-    candidates = materialize(met.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), "version", "item_id").distinct(), "candidates")
+    candidates = materialize(_candidates(rows, each, width, percent), "candidates")
     texts = candidates.select("d", "version").distinct()
     few = texts.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     keyed = rows.withColumn("d", F.coalesce("doc_id", F.lit(-(2**63))))

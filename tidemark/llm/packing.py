@@ -8,7 +8,8 @@ smaller one is padding. At the end of the task the leftover windows are merged:
 are cut to fill the fullest, and the one that stays unfilled is cut at powers of two, which
 need no padding. Nothing is shuffled and nothing but the open windows is held.
 
-Defined cases: a null text is empty, and an empty document is its end mark alone; repeated
+Defined cases: a null text is empty, and an empty document is its end mark alone; where a text spells
+out an added token, such as an end mark, it has that token's id, as the tokenizer gives it; repeated
 rows are packed once for each row; an empty table gives no rows; further columns are ignored.
 """
 
@@ -51,7 +52,7 @@ class WordTokens(dict):
 
     The vocabulary splits a text into letters, single digits and other runs before any merge, so
     ids of a text are those of its pieces joined. The split is done here for texts within Latin
-    blocks; any other text goes to the tokenizer whole.
+    blocks; any other text, and one that spells out an added token, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -60,11 +61,11 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
         letters, digits = re.escape(_latin("L")), re.escape(_latin("N"))
         self.pieces = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^\t\n\r {letters}{digits}]+").findall
-        self.foreign = re.compile("[^\t\n\r\x20-\x7e\u00a1-\u024f]").search
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.foreign = re.compile("|".join(["[^\t\n\r\x20-\x7e\u00a1-\u024f]", *added]), re.IGNORECASE).search
         self.letters = dict(enumerate(_byte_letters()))
 
     def __missing__(self, word: str) -> bytes:

@@ -135,8 +135,16 @@ def shingles(hashes: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarra
 
 
 def distinct(values: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 52-bit values of each of up to 4096 documents, sorted, and their documents."""
-    keys = np.sort((doc.astype(U64) << U64(52)) | (values >> U64(12)))
-    if len(keys):
-        keys = keys[np.r_[True, keys[1:] != keys[:-1]]]
-    return keys & U64((1 << 52) - 1), (keys >> U64(52)).astype(np.int64)
+    """The distinct values of each of up to 4096 documents, in one order for all, and their documents."""
+    if not len(values):
+        return values, doc
+    key = (doc.astype(U64) << U64(52)) | (values >> U64(12))
+    order = np.argsort(key)
+    key, out, where = key[order], values[order], doc[order]
+    same = out[1:] == out[:-1]
+    if ((key[1:] == key[:-1]) & ~same).any():  # values of one document that differ in the last bits alone
+        order = np.lexsort((values, doc))
+        out, where = values[order], doc[order]
+        same = out[1:] == out[:-1]
+    first = np.r_[True, ~same | (where[1:] != where[:-1])]
+    return out[first], where[first].astype(np.int64)

@@ -38,6 +38,7 @@ def awkward() -> list[tuple]:
         (None, copy, "en"),
         (None, None, None),
         (900_010, "Ünïcödé 日本語 Σας İ ſ <|endoftext|>   x", "fr"),
+        (900_015, "A <|endoftext|> b<|EndOfText|>c <|startoftext|> plain latin text", "en"),
         (900_011, LICENCE, "en"),
         (900_012, SECRET + "\n" + "a" * 300, "en"),
         (900_013, "12345 67890 ### $$$", "en"),
@@ -121,7 +122,6 @@ def test_packing(docs, empty, rows):
 
     path = queries.tokenizer_path()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     want = Counter()
     for i, t, _ in rows:
         want[i, np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes()] += 1
@@ -183,6 +183,22 @@ def test_secret_model_tells_labelled_samples_apart(docs, spark):
     names = [w for (t,) in docs.filter("doc_id % 3 = 0").select("text").limit(50).collect() for w in re.findall("[A-Za-z]{20,}", t or "")] + ["thethereisthingandwhere"]
     assert np.mean([score(w) > secrets.MIN_RATIO for w in strings]) > 0.98
     assert np.mean([score(w) > secrets.MIN_RATIO for w in names]) < 0.02
+    assert len([w for w in ORDINARY if score(w) > secrets.MIN_RATIO]) <= 1, [(w, round(score(w), 2)) for w in ORDINARY]
+
+
+ORDINARY = [
+    "-" * 30, "=" * 30, "_" * 24, "0" * 24, "a" * 30, "x" * 22, "/usr/share/doc/python3/examples", "2024-01-05-12-30-45-000123", "MAX_CONNECTION_RETRY_COUNT", "wp-content/uploads/2020/12/photo",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "20240105123045000123", "00000000000000000042", "getConnectionFromPoolOrThrow", "the-quick-brown-fox-jumps-over", "src/main/java/org/example/Main",
+    "DEFAULT_TIMEOUT_SECONDS", "user_account_settings_page_2", "1234567890123456789012345", "internationalization", "SomeVeryLongClassNameFactory",
+]
+
+
+def test_secrets_of_long_texts(spark):
+    """Running lengths over more matches than a block of blocks, and one very long run."""
+    text = "日本 token=abcdef12 x " * 5000 + "Zx9Qr2Tb7Lm4Wp8Vn3Kd6Hs" * 4000
+    spans = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), [1.0] * secrets.ALPHABET**2).first().spans
+    assert [(s.start, 0, s.end) for s in spans if s.kind == "assign"] == base_spans(text) and len(spans) == 5001
+    assert spans[-1].kind == "markov" and spans[-1].end - spans[-1].start == 23 * 4000 and abs(spans[-1].ratio - 1) < 1e-9
 
 
 def test_sharding(docs, empty, rows):
@@ -393,6 +409,32 @@ def test_repeats(docs, empty, rows):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_run_length_index():
+    """Order, streamed match lengths and marks against sorted suffixes, with NUL bytes, equal strings and repeats."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 3, (6, 30), dtype=np.uint8)
+    strings = [bytes(base[rng.integers(6)][rng.integers(8) :][: rng.integers(1, 30)]) + bytes(rng.integers(0, 2, 5, dtype=np.uint8)) for _ in range(80)] + [b"", b"\0" * 30, b"\0" * 30]
+    length = np.array([len(x) for x in strings])
+    rows = np.zeros((len(strings), 36), np.uint8)
+    for k, x in enumerate(strings):
+        rows[k, : len(x)] = np.frombuffer(x, np.uint8)
+    order = repeats.suffix_order(rows, length)
+    places = sorted((x[c:], k, c) for k, x in enumerate(strings) for c in range(len(x)))
+    assert [(k * 36 + c) for _, k, c in places] == order.tolist()
+
+    def common(x, y):
+        return next((k for k, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+
+    assert repeats.match_lengths(rows, length, order).tolist() == [0] + [common(a[0], b[0]) for a, b in zip(places, places[1:], strict=False)]
+    doc = rng.integers(0, 20, len(strings))
+    first = {}
+    for x, k, _ in places:
+        if len(x) >= 10:
+            first[x[:10]] = min(first.get(x[:10], 99), doc[k])
+    want = {(k, c) for x, k, c in places if len(x) >= 10 and first[x[:10]] < doc[k]}
+    assert set(zip(*(v.tolist() for v in repeats.repeated(rows, length, doc, 10)), strict=True)) == want and want
+
+
 def test_quality(docs, empty, rows):
     want = Counter()
     for i, t, _ in rows:

@@ -1,17 +1,24 @@
-"""Removal of long byte strings that an earlier document has.
+"""Removal of long byte strings that an earlier document has, by run-length indexes.
 
 A byte goes when it is covered by a string of ``width`` bytes that also starts in a document with a
-smaller doc_id. Comparing every such string would shuffle many times the corpus, so each string
+smaller doc_id. One index of a whole corpus can't be built in bounded memory, so what may match is
+first dealt into buckets that can be: each string
 is found by its anchor: of the GRAM-byte grams inside it, those of least hash. Equal strings have
 equal anchors at equal places, so they meet where their anchor's hash is dealt; about one byte in
 sixteen is an anchor. An anchor carries a hash of its context, all bytes of any string that it
 could anchor. Of equal contexts the earliest document's stands for all: the others are covered,
 each task says so of its own before anything is shuffled, and a hot passage sends one entry a
 task. Only where contexts differ, and yet share all bytes next to the anchor on one side, are their
-bytes fetched and compared string by string.
+bytes fetched and indexed.
 
-Entries travel as packed arrays, many to a row. No index of the whole corpus is built, and
-results are exact but for collisions of 64-bit hashes.
+The index of some contexts is their run-compressed Burrows-Wheeler transform, with the suffix array
+sampled at the runs' starts. Within a run, a suffix matches the one before it in order by one byte less
+than the suffix a byte further left, so match lengths are compared byte by byte at the samples alone and
+streamed through the text from there. Suffixes that match by ``width`` or more are marked and grouped, and in
+each group all but the earliest document's are covered.
+
+Entries travel as packed arrays, many to a row, in buckets whose number follows from the bytes of the input. Results are
+exact but for contexts of one gram, of different bytes and yet of one 64-bit hash.
 
 Defined cases: a null text is empty; a text shorter than ``width`` keeps all; rows of one doc_id
 aren't smaller than each other, and rows without doc_id count as later than all others; repeated
@@ -37,6 +44,8 @@ GRAM = 20
 BROADCAST_BYTES = 48 << 20
 #: Anchors that a task packs at once.
 ENTRIES = 400_000
+#: Bytes of text for each bucket, and contexts that are indexed together (more if of one anchor).
+BUCKET_BYTES, INDEXED = 8 << 20, 20_000
 LAST = (1 << 63) - 1
 _ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), *((k, pa.binary()) for k in "dvisehc")])
 _DDL = "bucket int, kind int, d binary, v binary, i binary, s binary, e binary, h binary, c binary"
@@ -100,16 +109,88 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, width: int, powers: Powers) ->
     return grams[at], context, sides, doc, at - offsets[doc]
 
 
-def _classes(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Order by key, where each key begins, the least document of each, and whether an entry (in order) has it."""
-    order = np.argsort(key, kind="stable")
-    run = key[order]
-    first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]]) if len(run) else np.zeros(0, np.int64)
-    low = np.minimum.reduceat(doc[order], first) if len(run) else doc
-    lead = doc[order] == np.repeat(low, np.diff(np.r_[first, len(run)]))
+def _classes(h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order by (h, c), where each pair begins, the least document of each, and whether an entry (in order) has it."""
+    with np.errstate(over="ignore"):
+        order = np.argsort(mix(h) + c, kind="stable")
+    one, two = h[order], c[order]
+    first = np.flatnonzero(np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])]) if len(one) else np.zeros(0, np.int64)
+    low = np.minimum.reduceat(doc[order], first) if len(one) else doc
+    lead = doc[order] == np.repeat(low, np.diff(np.r_[first, len(one)]))
     return order, first, low, lead
 
 
+def suffix_order(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All suffixes of some strings in order, as places row * width + column; equal ones in order of their rows.
+
+    ``rows`` holds a string a row, of ``length`` bytes; a string's end comes before every byte.
+    """
+    n, width = rows.shape
+    inside = np.arange(width) < length[:, None]
+    symbol = np.where(inside, rows.astype(np.uint64) + U64(1), U64(0))
+    key, reach = symbol, 1
+    after = lambda x, k: np.concatenate((x[:, k:], np.zeros((n, min(k, width)), x.dtype)), axis=1)[:, :width]
+    for _ in range(6):  # seven symbols in a long
+        key = key * U64(257) + after(symbol, reach)
+        reach += 1
+    while True:
+        rank = np.unique(key, return_inverse=True)[1].reshape(n, width).astype(np.uint64)
+        if reach >= width:
+            break
+        rank += U64(1)
+        rank[~inside] = 0
+        key = rank << U64(32) | after(rank, reach)
+        reach *= 2
+    place = np.flatnonzero(inside.ravel())
+    return place[np.argsort(rank.ravel()[place], kind="stable")]
+
+
+def match_lengths(rows: np.ndarray, length: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """How many bytes each suffix has in common with the one before it in ``order``.
+
+    The run-compressed transform is all that is kept of the order: a suffix that doesn't start a
+    run is preceded by the byte that precedes the one before it, so the same holds of the suffixes
+    one byte further left, and its match is one byte shorter than theirs.
+    """
+    n, width = rows.shape
+    flat = np.ascontiguousarray(rows).ravel()
+    column = order % width
+    before = np.where(column > 0, flat[np.maximum(order - 1, 0)].astype(np.int32), -1)
+    start = np.r_[True, (before[1:] != before[:-1]) | (before[1:] < 0)]  # of a run of the transform; each string's first suffix is one
+    heads = np.flatnonzero(start)
+    sample, other = order[heads], order[np.maximum(heads - 1, 0)]
+    most = np.minimum(length[sample // width] - sample % width, length[other // width] - other % width)
+    most[0] = 0
+    common, live, step = np.zeros(len(heads), np.int64), np.flatnonzero(most > 0), 0
+    while len(live):
+        live = live[flat[sample[live] + step] == flat[other[live] + step]]
+        step += 1
+        common[live] = step
+        live = live[most[live] > step]
+    # in text order, from one sample to the next
+    at = np.full(n * width, -1, np.int64)
+    at[sample] = np.arange(len(sample))
+    text = np.sort(order)
+    last = np.maximum.accumulate(np.where(at[text] >= 0, np.arange(len(text)), 0))
+    streamed = np.zeros(n * width, np.int64)
+    streamed[text] = common[at[text[last]]] - (text - text[last])
+    return streamed[order]
+
+
+def repeated(rows: np.ndarray, length: np.ndarray, doc: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each start of a ``width``-byte string that a row of a smaller document has too."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = suffix_order(rows, length)
+    if not len(order):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    group = np.flatnonzero(match_lengths(rows, length, order) < width)
+    owner = doc[order // rows.shape[1]]
+    low = np.repeat(np.minimum.reduceat(owner, group), np.diff(np.r_[group, len(order)]))
+    hit = order[owner > low]
+    return hit // rows.shape[1], hit % rows.shape[1]
+
+
 def _several(key: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Which entries share their key with one of another document."""
     out = np.zeros(len(key), bool)
@@ -177,8 +258,7 @@ def _find(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     def packed(got: list[tuple], ids: np.ndarray, versions: np.ndarray) -> Iterator[pa.RecordBatch]:
         h, c, sides, row, p = (np.concatenate(x) for x in zip(*got, strict=True))
         doc, version = ids[row], versions[row]
-        with np.errstate(over="ignore"):
-            order, _, _, lead = _classes(mix(h) + c, doc)
+        order, _, _, lead = _classes(h, c, doc)
         own, out = np.sort(order[lead]), np.sort(order[~lead])
         yield from _batches(_rows(ANCHOR, (h[own] % U64(buckets)).astype(np.int64), doc[own], version[own], p[own], sides[own], h[own], c[own]))
         yield from _batches(_rows(COVERED, buckets + _doc_bucket(doc[out], buckets), doc[out], version[out], p[out]))
@@ -205,8 +285,7 @@ def _find(docs: DataFrame, width: int, buckets: int) -> DataFrame:
             doc, version, p = _unpacked(table, "s")
             return pa.Table.from_batches([_batch(list(_rows(COVERED, _doc_bucket(doc, buckets), doc, version, p)))])
         doc, version, p, sides, h, c = _unpacked(table, "sehc")
-        with np.errstate(over="ignore"):
-            order, first, low, lead = _classes(mix(h) + c, doc)
+        order, first, low, lead = _classes(h, c, doc)
         out = order[~lead]
         # contexts of one anchor and one side in common, whose earliest documents differ
         head, side = h[order[first]], sides[order[first]].astype(U64)
@@ -217,10 +296,10 @@ def _find(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         rows = [*_rows(COVERED, _doc_bucket(doc[out], buckets), doc[out], version[out], p[out]), *_rows(FETCH, _doc_bucket(doc[ask], buckets), doc[ask], version[ask], p[ask], h=h[ask])]
         return pa.Table.from_batches([_batch(rows)])
 
-    return arrow_groups(arrow_map(docs, emit, _DDL), ["bucket"], meet, _DDL)
+    return arrow_groups(arrow_map(docs, emit, _DDL).repartition(buckets, "bucket"), ["bucket"], meet, _DDL)
 
 
-def _by_document(found: DataFrame, kinds: list[int], width: int, fetch: bool) -> DataFrame:
+def _by_document(found: DataFrame, kinds: list[int], width: int, buckets: int, fetch: bool) -> DataFrame:
     """(d, v, a, b): for each document the packed places and hashes to fetch, or its merged covered stretches."""
     reach = width - GRAM
 
@@ -243,11 +322,11 @@ def _by_document(found: DataFrame, kinds: list[int], width: int, fetch: bool) ->
             two.append(e.astype("<u8" if fetch else "<u4").tobytes())
         return pa.table({"d": pa.array(doc[cut]), "v": pa.array(version[cut]), "a": pa.array(one, pa.binary()), "b": pa.array(two, pa.binary())})
 
-    return arrow_groups(found.filter(F.col("kind").isin(kinds)), ["bucket"], gather, "d long, v long, a binary, b binary")
+    return arrow_groups(found.filter(F.col("kind").isin(kinds)).repartition(buckets, "bucket"), ["bucket"], gather, "d long, v long, a binary, b binary")
 
 
 def _compare(docs: DataFrame, per: DataFrame, width: int, buckets: int) -> DataFrame:
-    """Rows of stretches that differing contexts have in common with those of earlier documents."""
+    """Rows of stretches that differing contexts have in common with those of earlier documents, by an index of them."""
     reach = width - GRAM
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,35 +349,38 @@ def _compare(docs: DataFrame, per: DataFrame, width: int, buckets: int) -> DataF
         doc, version, p, end, h = _unpacked(table, "seh")
         ctx = np.frombuffer(b"".join(x.as_py() for x in table["c"]), np.uint8).reshape(len(doc), width + reach)
         p, end = p.astype(np.int64), end.astype(np.int64)
-        weight = np.cumprod(np.full(width, 0x9E3779B97F4A7C15 | 1, U64))
-        start, stop, who = [], [], []
-        for k in range(reach + 1):  # the string that begins k bytes into the context
-            s = p - reach + k
-            live = np.flatnonzero((s >= 0) & (s + width <= end))
-            with np.errstate(over="ignore"):
-                key = mix(mix(((ctx[live, k : k + width].astype(U64) + U64(1)) * weight).sum(axis=1, dtype=U64)) + h[live])
-            order, _, _, lead = _classes(key, doc[live])
-            hit = live[order[~lead]]
-            start.append(s[hit])
-            stop.append(s[hit] + width)
-            who.append(hit)
-        start, stop, who = (np.concatenate(x) for x in (start, stop, who))
+        shift = np.maximum(reach - p, 0)  # a context at a document's start has blanks before it
+        length = end - np.maximum(p - reach, 0)
+        by = np.argsort(h, kind="stable")
+        edge = np.flatnonzero(np.r_[True, h[by][1:] != h[by][:-1], True])  # anchors stay together
+        start, who, k = [], [], 0
+        while k < len(edge) - 1:
+            j = max(k + 1, int(np.searchsorted(edge, edge[k] + INDEXED, side="right")) - 1)
+            part = by[edge[k] : edge[j]]
+            place = np.minimum(np.arange(width + reach) + shift[part][:, None], width + reach - 1)
+            row, column = repeated(np.take_along_axis(ctx[part], place, axis=1), length[part], doc[part], width)
+            who.append(part[row])
+            start.append(np.maximum(p[part[row]] - reach, 0) + column)
+            k = j
+        who, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (who, start))
+        stop = start + width
         rows = list(_rows(STRETCH, _doc_bucket(doc[who], buckets), doc[who], version[who], start, stop))
         return pa.Table.from_batches([_batch(rows)])
 
     # nearly every document has an edge of some passage, so this join is a shuffle at every size
     texts = docs.join(per.hint("merge"), ["d", "v"]).select("d", "v", "text", "a", "b")
-    return arrow_groups(arrow_map(texts, fetch, _DDL), ["bucket"], meet, _DDL)
+    return arrow_groups(arrow_map(texts, fetch, _DDL).repartition(buckets, "bucket"), ["bucket"], meet, _DDL)
 
 
 def remove_repeats(docs: DataFrame, *, width: int = 50) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of each row."""
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.col("text").cast("string")).alias("v"), F.col("text").cast("string").alias("text"))
     found = materialize(_find(base, width, buckets), "found")
-    asked = materialize(_by_document(found, [FETCH], width, True), "asked")
+    asked = materialize(_by_document(found, [FETCH], width, buckets, True), "asked")
     common = materialize(_compare(base, asked, width, buckets), "common")
-    spans = materialize(_by_document(found.unionByName(common), [COVERED, STRETCH], width, False), "spans")
+    spans = materialize(_by_document(found.unionByName(common), [COVERED, STRETCH], width, buckets, False), "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 from collections import Counter
@@ -9,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tidemark import cli, config
@@ -24,6 +26,7 @@ from tidemark.sources import tables as T
 from tidemark.streaming import bars as stream
 
 HOUR = 3600
+START = 1_704_067_200
 
 
 def make(spark, rows, asset="X", timeframe="H1", start=1_704_067_200, step=HOUR, more=()):
@@ -85,6 +88,51 @@ def test_targets_never_span_a_hole(spark):
             targets.parse(bad)
 
 
+def test_targets_and_resampling_count_valid_bars_alone(spark):
+    """By hand: partial ends take the targets that touch them, and a bar still warming up makes its longer bar partial."""
+    df = make(spark, walk(10)).withColumn("is_partial", F.col("ts").isin(F.timestamp_seconds(F.lit(START)), F.timestamp_seconds(F.lit(START + 9 * 3600))))
+    got = targets.forward(df, "H1", ["ret_fwd_3", "vol_fwd_3"]).orderBy("ts").collect()
+    assert [r.ret_fwd_3 is not None for r in got] == [False, True, True, True, True, True, False, False, False, False]
+    assert [r.vol_fwd_3 is None for r in got] == [r.ret_fwd_3 is None for r in got]
+    four = B.resample(make(spark, walk(8), start=1704067200 + 3600).withColumn("is_warmup", F.col("ts") == F.timestamp_seconds(F.lit(1704067200 + 2 * 3600))), "H1", "H4").orderBy("ts").collect()
+    assert [r.is_partial for r in four] == [True, False] and [r.source_count for r in four] == [4, 4]
+
+
+def test_inputs_of_detectors_are_checked(spark):
+    good = make(spark, walk(30))
+    for column, value in (("close", "-1D"), ("high", "low / 2"), ("close", "double('NaN')"), ("bid_volume", "null"), ("ask_volume", "-2D")):
+        bad = good.withColumn(column, F.when(F.hour("ts") == 3, F.expr(value)).otherwise(F.col(column)))
+        with pytest.raises(Exception, match="must be|lies|needed"):
+            REGISTRY["ofi"].detect(bad, "H1").collect()
+    carried = REGISTRY["adx"].detect(B.resample(good, "H1", "H4"), "H4")
+    assert {"coverage", "source_count", "expected_count"} <= set(carried.columns)
+    for name, values in (("atr_volatility", {"q_bas": 1.5}), ("hmm_causal", {"train_size": 10}), ("vpin", {"bucket_volume": float("inf")})):
+        with pytest.raises(InputError):
+            REGISTRY[name].detect(good, "H1", **values)
+
+
+def test_causal_hidden_states(spark):
+    good = make(spark, walk(200))
+    got = REGISTRY["hmm_causal"].detect(good, "H1", train_size=100, n_iter=20).orderBy("ts").collect()
+    assert [r.is_warmup for r in got] == [True] * 100 + [False] * 100
+    assert all(r.regime == "INCONNU" and r.hmm_diagnostics == "" for r in got[:100])
+    assert all(0.5 <= r.confidence <= 1 and r.regime in ("STATE_0", "STATE_1") for r in got[100:])
+    note = json.loads(got[150].hmm_diagnostics)
+    assert note["train_rows"] == 80 and len(note["transition_matrix"]) == 2 and note["state_means"][0][0] <= note["state_means"][1][0]
+    with pytest.raises(Exception, match="valid"):
+        REGISTRY["hmm_causal"].detect(good.withColumn("is_partial", F.hour("ts") == 5), "H1", train_size=100).collect()
+    assert REGISTRY["hmm_causal"].ids(n_states=3) == {"STATE_0": 0, "STATE_1": 1, "STATE_2": 2, "INCONNU": 3}
+
+
+def test_ticks_are_normalised_and_jumps_cross_days(spark):
+    rows = [("X", "2026-01-01 23:59:59", 0, 10.0, 10.1), ("X", "2026-01-02 00:00:01", 1, 20.0, 20.1), ("X", "2026-01-02 00:00:02", 2, 20.0, 19.0), ("X", "2026-01-02 00:00:02", 3, 20.1, 20.2), ("X", "2026-01-04 00:00:00", 4, 20.1, 20.2)]
+    ticks = spark.createDataFrame(rows, "asset string, t string, seq long, bid_price double, ask_price double").selectExpr("asset", "to_timestamp(t) AS ts", "seq", "bid_price", "ask_price", "1D AS bid_volume", "1D AS ask_volume")
+    with pytest.raises(InputError):
+        B.normalize_ticks(ticks, "2026-01-01", "2026-01-03")
+    assert [r.seq for r in B.normalize_ticks(ticks, "2026-01-01", "2026-01-04", drop_crossed=True).orderBy("seq").collect()] == [0, 1, 3]
+    assert [(str(r.day), r.n_jumps) for r in B.tick_jumps(ticks, relative=0.5).collect()] == [("2026-01-02", 1)]
+
+
 def test_segment_features_by_hand(spark):
     df = make(spark, [(10, 11, 9, 10, 1, 1, 1), (11, 12, 10, 11, 1, 1, 1), (12, 13, 11, 12, 1, 1, 1)], more=("0 AS segment_id",))
     r = projection.characterise(df, "H1").first()
@@ -258,15 +306,35 @@ def test_hidden_states():
     assert np.allclose(prefix, kernels.hmm_filter(x, model)[:200])
 
 
-def test_study(spark):
+def test_study(spark, tmp_path):
     bars = make(spark, walk(300)).cache()
     long = None
     for name in ("ofi", "adx"):
         rows = context.uniform(REGISTRY[name].detect(bars, "H1", **PARAMETERS[name]), REGISTRY[name])
         long = rows if long is None else long.unionByName(rows, allowMissingColumns=True)
-    found = study.Study(long, bars, "H1", ["ofi", "adx"], ["ret_fwd_3"]).run()
-    assert found["tests"] and all(0 <= r["p_welch"] <= 1 or math.isnan(r["p_welch"]) for r in found["tests"])
-    assert found["coverage"][0]["ret_fwd_3"] <= found["coverage"][0]["rows"]
+    whole = study.Study(long, bars, "H1", ["ofi", "adx"], ["ret_fwd_3"], columns=("regime", "confidence"), inference=study.Inference(3, 49))
+    found = whole.run()
+    assert found["tests"] and all(0 <= r["p_welch"] <= 1 or math.isnan(r["p_welch"]) for r in found["tests"] if r["n"] > 1)
+    assert all(r["n_common"] <= r["n_own"] <= r["n_total"] for r in found["coverage"]) and len(found["coverage"]) == 4
+    assert {r["feature"]: r["ic_status_test"] for r in found["results"]} == {f"{m}__{c}": "not_applicable_nominal" if c == "regime" else "ok" for m in ("ofi", "adx") for c in ("regime", "confidence")}
+    assert all(r["n_purge_train"] == 3 for r in found["results"])
+    assert all(r["status"] != "descriptive" or min(r["n_episodes"], r["n_episodes_rest"]) > 1 for r in found["tests"])
+    whole.save(f"{tmp_path}/study")
+    saved = {p.name for p in (tmp_path / "study").iterdir() if not p.name.startswith(".")}
+    assert {"study_results", "study_tests", "study_conditional", "study_coverage", "study_stability", "study_target_ends", "study_common_support", "study_report.md", "manifest.json"} <= saved
+    assert spark.read.parquet(f"{tmp_path}/study/study_results").count() == len(found["results"])
+    assert "# Study of" in (tmp_path / "study" / "study_report.md").read_text()
+    with pytest.raises(InputError):
+        study.Study(long, bars, "H1", ["ofi"], ["ret_fwd_3"], inputs=(f"{tmp_path}/study/x.parquet",), results={"coverage": []}).save(f"{tmp_path}/study")
+    for bad in ({"inference": study.Inference(2)}, {"feature_types": {"nothing": "nominal"}}, {"stratum": "x"}, {"feature_types": {"regime": "odd"}}):
+        with pytest.raises(InputError):
+            study.Study(long, bars, "H1", ["ofi"], ["ret_fwd_3"], **bad)
+    with_sessions = context.sessions(bars, "H1")
+    by_session = study.Study(long, with_sessions, "H1", ["ofi"], ["ret_fwd_3"], stratum="ctx_session", split={"kind": "walk_forward", "count": 2}).run()
+    assert by_session["stratified"] and by_session["strata_coverage"] and len({r["fold"] for r in by_session["results"]}) == 2
+    assert study.list_features(long)["categorical"] == ["regime"] and "ofi_value" in study.list_features(long)["other"]
+    assert [study.feature_type(*x) for x in (("a__regime", "string"), ("a__ctx_hour_ny", "int"), ("a__x", "double"), ("a__x", "double", "directional"), ("b", "boolean"))] == ["nominal", "nominal", "continuous", "directional", "nominal"]
+    assert "2. States" in report.full(long)
     looking = context.uniform(REGISTRY["price_action"].detect(bars, "H1", allow_lookahead=True), REGISTRY["price_action"])
     assert study.causal_only(looking).count() == 0
     assert "## t" in report.markdown("t", study.exclusions(long).collect())

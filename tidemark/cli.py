@@ -8,6 +8,7 @@ import sys
 
 from tidemark import __version__, config
 from tidemark.operators import bars as B
+from tidemark.operators import report
 from tidemark.operators.context import uniform
 from tidemark.operators.detectors import REGISTRY
 from tidemark.schema import TIMEFRAMES, InputError
@@ -28,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--profile")
     p.add_argument("--allow-lookahead", action="store_true")
     p.add_argument("--show-config", action="store_true")
+    p.add_argument("--report", action="store_true", help="write a text report of the labels too")
     return p
 
 
@@ -53,9 +55,11 @@ def main(argv: list[str] | None = None) -> int:
             for m in args.methods:
                 values, _ = chosen[m, t]
                 found = REGISTRY[m].detect(bars, t, allow_lookahead=args.allow_lookahead, **values)
-                out.append(uniform(found, REGISTRY[m], params_hash=config.params_hash(m, values), price_side=args.side, source=args.input))
+                out.append(uniform(found, REGISTRY[m], params_hash=config.params_hash(m, values), parameters=values, price_side=args.side, source=args.input))
         T.write_long(out, f"{args.output}/regimes.parquet")
         T.write_meta(spark, f"{args.output}/run_meta.json", {"version": __version__, "asset": loaded.meta.asset, "timeframes": frames, "methods": {f"{m}.{t}": {"values": v, "origin": o} for (m, t), (v, o) in chosen.items()}})
+        if args.report:
+            T.write_text(spark, f"{args.output}/report.txt", report.full(spark.read.parquet(f"{args.output}/regimes.parquet")))
         return 0
     except (InputError, OSError) as error:
         print(f"error: {error}", file=sys.stderr)

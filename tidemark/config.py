@@ -12,12 +12,13 @@ from tidemark.schema import TIMEFRAMES, InputError
 
 # Frames that differ by timeframe.
 BY_TIMEFRAME: dict[str, dict[str, dict[str, Any]]] = {
-    "atr_volatility": {"M1": {"fenetre": 30000}, "M5": {"fenetre": 6000}, "M15": {"fenetre": 2000}, "M30": {"fenetre": 1000}, "H4": {"fenetre": 125}, "D1": {"fenetre": 21}, "W1": {"fenetre": 12}},
-    "er_kaufman": {"M1": {"fenetre": 8000}, "M5": {"fenetre": 3000}},
+    "atr_volatility": {"M1": {"n_atr": 20, "fenetre": 30000}, "M5": {"n_atr": 20, "fenetre": 6000}, "M15": {"fenetre": 2000}, "M30": {"fenetre": 1000}, "H4": {"fenetre": 125}, "D1": {"fenetre": 21}, "W1": {"fenetre": 12}},
+    "er_kaufman": {"M1": {"fenetre": 8000}, "M5": {"fenetre": 3000}, "M15": {"fenetre": 2000}, "M30": {"fenetre": 1500}, "H4": {"fenetre": 200}, "D1": {"fenetre": 40}, "W1": {"fenetre": 20}},
     "shannon": {"M1": {"fenetre": 200}, "M5": {"fenetre": 200}, "M15": {"fenetre": 150}, "H4": {"fenetre": 50}, "D1": {"fenetre": 30}},
     "pca_axis": {"M1": {"fenetre": 200}, "M5": {"fenetre": 200}, "M15": {"fenetre": 150}, "H4": {"fenetre": 50}, "D1": {"fenetre": 30}},
     "ofi": {"D1": {"fenetre": 10}},
-    "divergence_pv": {"D1": {"fenetre_extreme": 30}},
+    "quote_size_imbalance": {"D1": {"fenetre": 10}},
+    "divergence_pv": {"D1": {"fenetre_median_vol": 30}},
 }
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.detectors import validity
 from tidemark.schema import InputError, bar_end, micros, require, seconds
 
 TICK = ["asset", "ts", "seq", "bid_price", "ask_price", "bid_volume", "ask_volume"]
@@ -45,16 +46,33 @@ def check_ticks(ticks: DataFrame) -> DataFrame:
     return ticks
 
 
+def normalize_ticks(ticks: DataFrame, start: str, end: str, *, drop_crossed: bool = False) -> DataFrame:
+    """Checked ticks of [start, end), both in UTC; crossed quotes are an error, or dropped. Ticks of one time all stay."""
+    ts = lambda x: F.lit(x).cast("timestamp")
+    held = ticks.filter((F.col("ts") >= ts(start)) & (F.col("ts") < ts(end)))
+    if drop_crossed:
+        held = held.filter(~F.coalesce(F.col("ask_price") < F.col("bid_price"), F.lit(False)))
+    return check_ticks(held)
+
+
 def tick_jumps(ticks: DataFrame, *, threshold: float | None = None, relative: float | None = None) -> DataFrame:
     """(asset, day, n_jumps): per UTC day, ticks whose bid moved by more than one of the thresholds; days with some only."""
     if (threshold is None) == (relative is None):
         raise InputError("give either threshold or relative")
-    order = Window.partitionBy("asset").orderBy("ts", "seq")
-    before = F.lag("bid_price").over(order)
-    move = F.abs(F.col("bid_price") - before)
-    size = move if threshold is not None else F.try_divide(move, before)
-    moved = ticks.select("asset", "ts", size.alias("size"))
-    return moved.filter(F.col("size") > F.lit(threshold if threshold is not None else relative)).groupBy("asset", F.to_date("ts").alias("day")).agg(F.count("*").alias("n_jumps"))
+    limit = F.lit(threshold if threshold is not None else relative)
+
+    def jumped(now: Column, before: Column) -> Column:
+        move = F.abs(now - before)
+        return (move if threshold is not None else F.try_divide(move, before)) > limit
+
+    # a day of an asset is sorted in a task of its own; its first tick meets the last one of the day before
+    dated = ticks.select("asset", F.to_date("ts").alias("day"), "ts", "seq", "bid_price")
+    order = F.struct("ts", "seq")
+    inside = dated.withColumn("before", F.lag("bid_price").over(Window.partitionBy("asset", "day").orderBy("ts", "seq")))
+    days = dated.groupBy("asset", "day").agg(F.min_by("bid_price", order).alias("first"), F.max_by("bid_price", order).alias("last"))
+    edges = days.withColumn("before", F.lag("last").over(Window.partitionBy("asset").orderBy("day")))
+    both = inside.filter(jumped(F.col("bid_price"), F.col("before"))).select("asset", "day").unionByName(edges.filter(jumped(F.col("first"), F.col("before"))).select("asset", "day"))
+    return both.groupBy("asset", "day").agg(F.count("*").alias("n_jumps"))
 
 
 def from_ticks(ticks: DataFrame, timeframe: str, *, side: str = "bid", fill_seconds: int | None = None) -> DataFrame:
@@ -128,7 +146,7 @@ def resample(bars: DataFrame, source: str, target: str, *, expected: DataFrame |
     if "spread_max" in bars.columns:
         aggregates.append(F.max("spread_max").alias("spread_max"))
     aggregates += [F.max_by(c, order).alias(c) for c in last if c in bars.columns]
-    doubtful = F.coalesce(F.col("is_partial"), F.lit(True)) if "is_partial" in bars.columns else F.lit(False)
+    doubtful = ~validity(bars)
     out = rows.groupBy("asset", "__end").agg(*aggregates, F.max(doubtful).alias("__doubt"), F.count("*").alias("source_count"))
     if expected is None:
         out = out.withColumn("expected_count", F.lit(large // small).cast("long"))

@@ -110,14 +110,15 @@ def session_grid(spark: SparkSession, first: str, last: str, timeframe: str, sta
     return rows.select(F.explode(F.sequence(micros(F.col("o")) + step, micros(F.col("c")), F.lit(step))).alias("us")).select(F.timestamp_micros("us").alias("ts")).distinct()
 
 
-def uniform(found: DataFrame, detector, *, params_hash: str = "", **identity: str) -> DataFrame:
+def uniform(found: DataFrame, detector, *, params_hash: str = "", parameters: dict | None = None, **identity: str) -> DataFrame:
     """The long table's rows of one method: label, number, confidence and what they mean."""
-    ids = detector.regime_ids
+    ids = detector.ids(**(parameters or {}))
     table = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
     number = F.try_element_at(table, F.col("regime"))
     out = found.withColumn("regime_id", F.when(number.isNull(), F.raise_error(F.concat(F.lit("unknown label "), F.col("regime")))).otherwise(number))
-    out = out.withColumn("confidence", F.coalesce("confidence", F.lit(1.0))).withColumn("method", F.lit(detector.name)).withColumn("params_hash", F.lit(params_hash))
-    meaning = {"availability": detector.availability, "regime_dimension": detector.dimension, "regime_description": detector.description, "confidence_kind": "heuristic", "indicator_name": detector.name}
+    score = F.coalesce("confidence", F.lit(1.0))
+    out = out.withColumn("confidence", F.when(score.between(0, 1), score).otherwise(F.raise_error(F.lit("a confidence lies between 0 and 1")).cast("double"))).withColumn("method", F.lit(detector.name)).withColumn("params_hash", F.lit(params_hash))
+    meaning = {"availability": detector.availability, "regime_dimension": detector.dimension, "regime_description": detector.description, "confidence_kind": detector.confidence_kind, "indicator_name": detector.name}
     for name, value in {**meaning, **identity}.items():
         out = out.withColumn(name, F.lit(value))
     out = out.withColumn("revises_history", F.lit(detector.availability == "retrospective")).withColumn("confidence_calibrated", F.lit(False))

@@ -6,6 +6,7 @@ a grouped Arrow kernel where a recurrence or a very long frame demands one. ``re
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators import kernels
-from tidemark.schema import KEYS, PRICES, UNKNOWN, InputError, require, unaligned
+from tidemark.schema import KEYS, PRICES, UNKNOWN, VOLUMES, InputError, require, unaligned
 
+FLAGS, COUNTS = ("is_partial", "is_warmup", "is_valid"), ("coverage", "source_count", "expected_count")
 UP, DOWN, RANGE, CHOP, NEUTRAL = "TENDANCE_HAUSSIERE", "TENDANCE_BAISSIERE", "RANGE", "CHOP", "NEUTRE"
 TREND = (UP, DOWN, RANGE, CHOP)
 #: Quantile frames longer than this go to the kernel: Spark sorts each frame anew.
@@ -37,10 +39,19 @@ class Detector:
     dimension: str = "trend"
     description: str = ""
     rules: tuple[Callable[[dict], str | None], ...] = field(default=())
+    confidence_kind: str = "heuristic"
+
+    def labels_of(self, **given: Any) -> tuple[str, ...]:
+        """The labels under some parameters: a model of hidden states has one for each state."""
+        states = self.parameters(given).get("n_states")
+        return self.labels if states is None else tuple(f"STATE_{k}" for k in range(states))
+
+    def ids(self, **given: Any) -> dict[str, int]:
+        return {label: k for k, label in enumerate((*self.labels_of(**given), UNKNOWN))}
 
     @property
     def regime_ids(self) -> dict[str, int]:
-        return {label: k for k, label in enumerate((*self.labels, UNKNOWN))}
+        return self.ids()
 
     def parameters(self, given: dict[str, Any]) -> dict[str, Any]:
         unknown = sorted(set(given) - set(self.defaults))
@@ -50,6 +61,11 @@ class Detector:
         for name, value in out.items():
             if isinstance(self.defaults[name], int) and not isinstance(self.defaults[name], bool) and (isinstance(value, bool) or not isinstance(value, int) or value < 1):
                 raise InputError(f"{self.name}: {name} must be a whole number above 0, not {value!r}")
+            if isinstance(self.defaults[name], float):
+                if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value):
+                    raise InputError(f"{self.name}: {name} must be a finite number, not {value!r}")
+                if name.startswith(("q_", "pct_")) and not 0 <= value <= 1:
+                    raise InputError(f"{self.name}: {name} must lie between 0 and 1, not {value!r}")
         for rule in self.rules:
             if said := rule(out):
                 raise InputError(f"{self.name}: {said}")
@@ -60,8 +76,37 @@ class Detector:
         if self.availability == "retrospective" and not allow_lookahead:
             raise InputError(f"{self.name} looks ahead; allow it by allow_lookahead=True")
         require(bars, ["asset", "timeframe", "ts", *PRICES, *self.needs])
-        made = self.build(bars, self.parameters(given))
-        return published(made, list(self.measures), timeframe).select(*KEYS, "ts", "regime", "confidence", *self.measures, *(c for c in ("is_partial", "is_warmup", "is_valid") if c in made.columns))
+        values = self.parameters(given)
+        checked = guarded_bars(bars, self.needs, timeframe)
+        # a detector's own flags are joined with those of its bars
+        own = {c: f"__own_{c}" for c in FLAGS if c in bars.columns}
+        made = self.build(checked.withColumns({v: F.col(c) for c, v in own.items()}), values)
+        for c, v in own.items():
+            made = made.withColumn(c, F.coalesce(c, F.lit(False)) & F.coalesce(v, F.lit(False)) if c == "is_valid" else F.coalesce(c, F.lit(True)) | F.coalesce(v, F.lit(True)))
+        return published(made, list(self.measures), timeframe).select(*KEYS, "ts", "regime", "confidence", *self.measures, *(c for c in (*FLAGS, *COUNTS) if c in made.columns))
+
+
+def guarded_bars(bars: DataFrame, needs: tuple[str, ...] = (), timeframe: str | None = None) -> DataFrame:
+    """``bars``, with an error in place of the first value that breaks their contract, raised with its time.
+
+    Prices are finite, above 0 and within low and high; volumes are not below 0, and not missing
+    where a detector needs them. No further pass over the bars is made for this.
+    """
+    infinite = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    wrong = [(F.col("ts").isNull(), "a bar has no time"), (F.col("high") < F.greatest("open", "close", "low"), "a high lies below another price"), (F.col("low") > F.least("open", "close", "high"), "a low lies above another price")]
+    for c in PRICES:
+        wrong.append((F.col(c).isNull() | infinite(c) | (F.col(c) <= 0), f"{c} must be finite and above 0"))
+    for c in VOLUMES:
+        if c in bars.columns:
+            wrong.append((F.col(c).isNotNull() & (infinite(c) | (F.col(c) < 0)), f"{c} must be finite and not below 0"))
+            if c in needs:
+                wrong.append((F.col(c).isNull(), f"{c} is needed on each bar"))
+    if timeframe:
+        wrong.append((F.col("timeframe") != timeframe, f"bars must be of {timeframe}"))
+    said = F.lit(None).cast("string")
+    for when, text in reversed(wrong):
+        said = F.when(F.coalesce(when, F.lit(False)), text).otherwise(said)
+    return bars.withColumn("ts", F.when(said.isNull(), F.col("ts")).otherwise(F.raise_error(said).cast("timestamp")))
 
 
 REGISTRY: dict[str, Detector] = {}
@@ -349,7 +394,7 @@ def _hmm(df: DataFrame, p: dict) -> DataFrame:
 
 
 def _hmm_causal(df: DataFrame, p: dict) -> DataFrame:
-    return kernels.hmm_causal(hmm_features(df), p["n_states"], p["n_iter"], p["seed"], p["train_size"])
+    return kernels.hmm_causal(hmm_features(df.withColumn("__usable", validity(df.drop("regime")))), p["n_states"], p["n_iter"], p["seed"], p["train_size"])
 
 
 def hmm_features(df: DataFrame) -> DataFrame:
@@ -378,8 +423,8 @@ _CASSURES = dict(zip(_BREAK, ("CASSURE_HAUTE_ANCIENNE", "CASSURE_BASSE_ANCIENNE"
 register(Detector("mss_choch", _BREAK, _breakout, {"n_fractale": 5}, availability="retrospective", dimension="breakout_event"))
 register(Detector("retrospective_pivot_breakout", tuple(_CASSURES.values()), _renamed(_breakout, _CASSURES), {"n_fractale": 5}, availability="retrospective", dimension="breakout_event"))
 _HMM = {"n_states": 2, "n_iter": 100, "seed": 42}
-register(Detector("hmm_gaussian", tuple(f"STATE_{k}" for k in range(8)), _hmm, _HMM, availability="retrospective", dimension="latent_state"))
-register(Detector("hmm_causal", tuple(f"STATE_{k}" for k in range(8)), _hmm_causal, {**_HMM, "train_size": 500}, ("hmm_diagnostics",), dimension="latent_state"))
+register(Detector("hmm_gaussian", ("STATE_0", "STATE_1"), _hmm, _HMM, availability="retrospective", dimension="latent_state"))
+register(Detector("hmm_causal", ("STATE_0", "STATE_1"), _hmm_causal, {**_HMM, "train_size": 500}, ("hmm_diagnostics",), dimension="latent_state", rules=(lambda p: None if p["train_size"] >= 25 else "train_size must be 25 or more",), confidence_kind="filtered_state_probability"))
 _SIDES = {"PRESSION_ACHETEUSE": "TAILLE_ASK_DOMINANTE", "PRESSION_VENDEUSE": "TAILLE_BID_DOMINANTE", "EQUILIBRE": "EQUILIBRE"}
 register(Detector("ofi", tuple(_SIDES), _ofi, {"fenetre": 20, "seuil": 0.1}, ("ofi_value",), ("bid_volume", "ask_volume"), dimension="imbalance"))
 register(Detector("quote_size_imbalance", tuple(_SIDES.values()), _renamed(_ofi, _SIDES, {"ofi_value": "quote_imbalance"}), {"fenetre": 20, "seuil": 0.1}, ("quote_imbalance",), ("bid_volume", "ask_volume"), dimension="imbalance"))
@@ -388,4 +433,4 @@ _VPIN = {"bucket_volume": 10000.0, "n_buckets": 50, "seuil_bas": 0.2, "seuil_hau
 register(Detector("vpin", tuple(_BUCKETS), _vpin, _VPIN, ("vpin_value",), ("bid_volume", "ask_volume"), rules=(_ordered("seuil_bas", "seuil_haut"),), dimension="toxicity"))
 register(Detector("quote_absolute_imbalance_buckets", tuple(_BUCKETS.values()), _renamed(_vpin, _BUCKETS, {"vpin_value": "quote_absolute_imbalance"}), _VPIN, ("quote_absolute_imbalance",), ("bid_volume", "ask_volume"), dimension="toxicity"))
 register(Detector("volume_profile", ("HORS_ZONE_BASSE", "DANS_ZONE_VALEUR", "HORS_ZONE_HAUTE"), _profile, {"fenetre": 100, "n_bins": 40, "pct_bas": 0.2, "pct_haut": 0.8}, ("va_low", "va_high", "distance_va"), ("volume",), rules=(_ordered("pct_bas", "pct_haut"),), dimension="value_area"))
-register(Detector("divergence_pv", ("CONFIRMATION_HAUSSIERE", "CONFIRMATION_BAISSIERE", "DIVERGENCE_HAUSSIERE", "DIVERGENCE_BAISSIERE", NEUTRAL), _divergence, {"fenetre_median_vol": 20, "fenetre_extreme": 50, "ratio_volume_fort": 1.5}, ("volume_rel", "is_new_high", "is_new_low"), ("volume",), dimension="volume"))
+register(Detector("divergence_pv", ("CONFIRMATION_HAUSSIERE", "CONFIRMATION_BAISSIERE", "DIVERGENCE_HAUSSIERE", "DIVERGENCE_BAISSIERE", NEUTRAL), _divergence, {"fenetre_median_vol": 50, "fenetre_extreme": 20, "ratio_volume_fort": 1.5}, ("volume_rel", "is_new_high", "is_new_low"), ("volume",), dimension="volume"))

@@ -1,7 +1,7 @@
 """Grouped kernels for recurrences and very long frames: one series at a time, in time order.
 
-Each kernel gets the keys, the time and the columns that it reads, and its result is joined back on
-keys and time, so that no other column goes through Python.
+Each kernel gets a series as an Arrow table, reads some columns as arrays and adds its results as
+columns; the others pass through as they are, so that nothing is joined back.
 """
 
 from __future__ import annotations
@@ -12,31 +12,31 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
-from tidemark.schema import KEYS
-from tidemark.session import ship
+from tidemark.schema import KEYS, InputError
+from tidemark.session import arrow_groups
 
 
 def _by_series(df: DataFrame, reads: list[str], writes: dict[str, str], f: Callable[[pd.DataFrame], dict[str, np.ndarray]]) -> DataFrame:
     """``df`` with the columns that ``f`` makes of each series; NaN counts as missing."""
-    names = {**dict.fromkeys(KEYS, "string"), "ts": "timestamp", **writes}
+    rest = df.drop(*writes)
+    made = StructType.fromDDL(", ".join(f"{k} {v}" for k, v in writes.items()))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("ts", kind="stable")
-        out = part[[*KEYS, "ts"]].copy()
-        for name, values in f(part).items():
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("ts")
+        for name, values in f(table.select([*reads, "ts"]).to_pandas()).items():
             if writes[name] == "double":
                 values = np.asarray(values, float)
-                out[name] = pd.array(np.where(np.isfinite(values), values, 0.0), dtype="Float64")
-                out.loc[~np.isfinite(values), name] = pd.NA
+                column = pa.array(values, pa.float64(), mask=~np.isfinite(values))
             else:
-                out[name] = values
-        return out
+                column = pa.array(list(values), {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[writes[name]])
+            table = table.append_column(name, column)
+        return table
 
-    ship(df.sparkSession)
-    made = df.select(*KEYS, "ts", *reads).groupBy(*KEYS).applyInPandas(run, ", ".join(f"{k} {v}" for k, v in names.items()))
-    return df.join(made, [*KEYS, "ts"], "left")
+    return arrow_groups(rest, KEYS, run, StructType([*rest.schema.fields, *made.fields]))
 
 
 def trailing_quantiles(df: DataFrame, x: str, window: int, least: int, quantiles: dict[str, float]) -> DataFrame:
@@ -120,23 +120,31 @@ def bucket_scores(total: np.ndarray, imbalance: np.ndarray, size: float, window:
     """The mean imbalance of the last ``window`` full buckets at each row.
 
     Cumulative imbalance is a piecewise linear function of cumulative volume, both in buckets, so the
-    sum over buckets is the difference of its values at two bucket edges. Edges that lie in one row
+    sum over buckets is the difference of its values at two bucket edges. Sums are of extended
+    precision, and a bucket that lacks under 8 units of rounding is full. Edges that lie in one row
     give that row's own ratio, which spares the difference of two large numbers.
     """
     out = np.full(len(total), np.nan)
     if not len(total):
         return out
-    volume, held = np.r_[0.0, np.cumsum(total / size)], np.r_[0.0, np.cumsum(imbalance / size)]
-    full = np.floor(volume[1:] + 1e-9)
+    wide = np.longdouble
+    units = total.astype(wide) / wide(size)
+    if not np.isfinite(total).all() or not np.isfinite(units.astype(float)).all():
+        raise InputError("volumes, in buckets too, must be finite")
+    ratio = np.divide(imbalance.astype(wide), total.astype(wide), out=np.zeros(len(total), wide), where=total > 0)
+    volume, held = np.r_[wide(0), np.cumsum(units)], np.r_[wide(0), np.cumsum(units * ratio)]
+    slack = 8 * np.finfo(float).eps
+    full = np.floor(volume[1:] + slack)
     ready = full >= window
     hi, lo = full[ready], full[ready] - window
-    row = lambda edge, side: np.searchsorted(volume, edge, side)
-    end, begin = row(hi - 1e-9, "left"), row(lo + 1e-9, "left")
-    ratio = np.divide(imbalance, total, out=np.zeros(len(total)), where=total > 0)
-    at = lambda edge: np.interp(edge, volume, held)
-    same = end == begin
-    score = np.where(same, ratio[np.minimum(end, len(total)) - 1], (at(hi) - at(lo)) / window)
-    out[ready] = np.clip(np.round(score, 12), 0, 1)  # so that a score at a threshold is at it
+    end, begin = np.searchsorted(volume, hi - slack, "left"), np.searchsorted(volume, lo + slack, "left")
+
+    def at(edge: np.ndarray, row: np.ndarray) -> np.ndarray:
+        row = np.clip(row, 1, len(total))
+        return held[row - 1] + np.clip(edge - volume[row - 1], 0, units[row - 1]) * ratio[row - 1]
+
+    score = np.where(end == begin, ratio[np.clip(end, 1, len(total)) - 1], (at(hi, end) - at(lo, begin)) / window)
+    out[ready] = np.clip(score.astype(float), 0, 1)
     return out
 
 
@@ -183,6 +191,8 @@ def value_area(df: DataFrame, window: int, bins: int, lower: float, upper: float
 
 
 FEATURES = ["log_return", "vol_realisee", "range_norm", "close_position"]
+#: Likelihood gained in a round below which a model has settled.
+HMM_TOLERANCE = 1e-4
 
 
 def _log_density(x: np.ndarray, mean: np.ndarray, var: np.ndarray) -> np.ndarray:
@@ -195,7 +205,7 @@ def _sum_exp(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def hmm_fit(x: np.ndarray, states: int, rounds: int, seed: int, tol: float = 1e-4) -> dict[str, np.ndarray]:
+def hmm_fit(x: np.ndarray, states: int, rounds: int, seed: int, tol: float = HMM_TOLERANCE) -> dict[str, np.ndarray]:
     """A Gaussian model of diagonal covariance by expectation-maximisation, begun from seeded quantile groups."""
     rng = np.random.default_rng(seed)
     rank = np.argsort(np.argsort(x[:, 1] + 1e-9 * rng.standard_normal(len(x)), kind="stable"), kind="stable")
@@ -273,27 +283,42 @@ def hmm(df: DataFrame, states: int, rounds: int, seed: int) -> DataFrame:
 
 
 def hmm_causal(df: DataFrame, states: int, rounds: int, seed: int, train: int) -> DataFrame:
+    """States of a model of the first ``train`` bars, filtered forwards; all bars must be usable, and the rows that train are warm-up."""
+
     def f(part: pd.DataFrame) -> dict[str, np.ndarray]:
-        x = part[FEATURES].to_numpy(float)
-        n = len(x)
-        regime, score = np.full(n, "INCONNU", object), np.zeros(n)
-        warm = np.arange(n) < train
-        note = np.full(n, None, object)
-        ok = np.isfinite(x).all(axis=1)
-        lead = x[:train][ok[:train]]
-        if n >= train and len(lead) >= 10 * states:
-            mean, spread = lead.mean(axis=0), np.where(lead.std(axis=0) > 0, lead.std(axis=0), 1)
-            model = hmm_fit((lead - mean) / spread, states, rounds, seed)
-            order = np.argsort(model["mean"][:, 0], kind="stable")
-            seen = np.flatnonzero(ok)
-            p = hmm_filter((x[seen] - mean) / spread, model)[:, order]
-            live = seen >= train
-            regime[seen[live]] = [f"STATE_{k}" for k in p[live].argmax(axis=1)]
-            score[seen[live]] = _confidence(p[live].max(axis=1), states)
-            note[~warm] = json.dumps({"rounds": len(model["history"]), "log_likelihood": round(float(model["history"][-1]), 6), "train_rows": len(lead)})
-        return {"regime": regime, "confidence": score, "is_warmup": warm, "hmm_diagnostics": note}
-
-    return _by_series(df, FEATURES, {"regime": "string", "confidence": "double", "is_warmup": "boolean", "hmm_diagnostics": "string"}, f)
+        x, n = part[FEATURES].to_numpy(float), len(part)
+        regime, score, warm, note = np.full(n, "INCONNU", object), np.zeros(n), np.ones(n, bool), np.full(n, "", object)
+        out = {"regime": regime, "confidence": score, "is_warmup": warm, "hmm_diagnostics": note}
+        if n <= train:
+            return out
+        if not part["__usable"].to_numpy(bool).all():
+            raise InputError("a causal model of hidden states needs valid, closed bars throughout")
+        seen = np.flatnonzero(np.isfinite(x).all(axis=1))
+        lead = x[seen[seen < train]]
+        if len(lead) < max(2, 2 * states):
+            raise InputError("too few training rows are left after the features' warm-up")
+        mean, spread = lead.mean(axis=0), lead.std(axis=0, ddof=1)
+        spread = np.where(spread > 0, spread, 1.0)
+        model = hmm_fit((lead - mean) / spread, states, rounds, seed)
+        if not np.allclose(model["move"].sum(axis=1), 1):
+            raise InputError("the model's transitions are no probabilities")
+        order = np.argsort(model["mean"][:, 0], kind="stable")
+        p = hmm_filter((x[seen] - mean) / spread, model)[:, order]
+        if not np.isfinite(p).all():
+            raise InputError("the filtered probabilities aren't finite")
+        live = seen >= train
+        at, history = seen[live], model["history"]
+        regime[at] = [f"STATE_{k}" for k in p[live].argmax(axis=1)]
+        score[at] = p[live].max(axis=1)
+        warm[at] = False
+        note[at] = json.dumps({
+            "train_end": part["ts"].iloc[train - 1].isoformat(), "train_rows": len(lead), "iterations": len(history), "converged": bool(len(history) > 1 and 0 <= history[-1] - history[-2] < HMM_TOLERANCE),
+            "log_likelihood": history.tolist(), "feature_names": FEATURES, "normalization_mean": mean.tolist(), "normalization_scale": spread.tolist(),
+            "state_means": (model["mean"][order] * spread + mean).tolist(), "transition_matrix": model["move"][order][:, order].tolist(),
+        })
+        return out
+
+    return _by_series(df, [*FEATURES, "__usable"], {"regime": "string", "confidence": "double", "is_warmup": "boolean", "hmm_diagnostics": "string"}, f)
 
 
 def pelt(signal: np.ndarray, penalty: float, min_size: int = 2, jump: int = 5, model: str = "l2") -> list[int]:

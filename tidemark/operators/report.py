@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.context import episodes
-from tidemark.schema import KEYS, micros, seconds
+from tidemark.schema import KEYS, UNKNOWN, micros, seconds
 
 
 def states(rows: DataFrame, label: str = "regime", measures: tuple[str, ...] = ("vol", "ret", "range", "close_pos")) -> DataFrame:
@@ -68,9 +68,24 @@ def text(spark_rows: dict[str, list]) -> str:
 
 
 def markdown(title: str, rows: list) -> str:
-    """A Markdown table of collected rows."""
+    """A Markdown table of collected rows or mappings; a column that a row lacks is empty there."""
     if not rows:
         return f"## {title}\n\n(none)\n"
-    names = list(rows[0].asDict())
-    body = ["| " + " | ".join(f"{v:.4f}" if isinstance(v, float) else str(v) for v in r) + " |" for r in rows]
+    held = [r if isinstance(r, dict) else r.asDict() for r in rows]
+    names = list(dict.fromkeys(k for r in held for k in r))
+    shown = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    body = ["| " + " | ".join(shown(r.get(k)) for k in names) + " |" for r in held]
     return "\n".join([f"## {title}", "", "| " + " | ".join(names) + " |", "|" + "---|" * len(names), *body, ""])
+
+
+def full(long: DataFrame) -> str:
+    """A text report of a long table of labels, six sections for each method and timeframe that it has."""
+    out = []
+    for method, timeframe in sorted((r[0], r[1]) for r in long.select("method", "timeframe").distinct().collect()):
+        rows = long.filter((F.col("method") == method) & (F.col("timeframe") == timeframe))
+        rows = rows.withColumn("regime", F.when(F.col("regime") != UNKNOWN, F.col("regime")))
+        known = rows.filter("regime is not null")
+        span = rows.groupBy(*KEYS).agg(F.count("*").alias("bars"), F.count("regime").alias("labelled"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+        tables = {"1. Series": span, "2. States": states(rows), "3. Persistence": persistence(rows, timeframe), "4. Transitions": transitions(rows, timeframe), "5. Confidence": confidence(known), "6. Shares by month": monthly(rows)}
+        out.append(f"{method} {timeframe}\n{'=' * (len(method) + len(timeframe) + 1)}\n" + text({k: v.orderBy(*[c for c in v.columns if c in (*KEYS, "month", "regime", "from_state", "to_state")]).collect() for k, v in tables.items()}))
+    return "\n".join(out)

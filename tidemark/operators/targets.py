@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.operators.bars import on_grid
+from tidemark.operators.detectors import validity
 from tidemark.schema import KEYS, InputError
 
 EXCURSIONS = ("mfe_long", "mae_long", "mfe_short", "mae_short")
@@ -54,8 +55,9 @@ def expression(family: str, k: int) -> Column:
 
 
 def forward(bars: DataFrame, timeframe: str, names: list[str]) -> DataFrame:
-    """keys, ts, and each target with the time at which it is known (<target>_end); null where any of its bars is missing."""
-    grid = on_grid(bars, timeframe).withColumn("__ok", F.col("present").cast("int")).withColumn("__ret", W.log_return())
+    """keys, ts, and each target with the time at which it is known (<target>_end); null where any of its bars is missing or not valid."""
+    grid = on_grid(bars, timeframe)
+    grid = grid.withColumn("__ok", (F.col("present") & validity(grid)).cast("int")).withColumn("__ret", W.log_return())
     out, made = grid, []
     for name in names:
         family, k = parse(name)

@@ -215,7 +215,7 @@ b0 AS (SELECT *, sum(ask_volume + bid_volume) OVER {CARRY} AS u, sum(abs(ask_vol
 edge AS (SELECT b0.asset, k.k, (b0.d - b0.q + (k.k * {size} - (b0.u - b0.v)) * b0.q / b0.v) / {size} AS dk FROM b0, LATERAL (SELECT unnest(range(CAST(floor((b0.u - b0.v) / {size}) AS BIGINT) + 1, CAST(floor(b0.u / {size}) AS BIGINT) + 1)) AS k) k WHERE b0.v > 0),
 ends AS (SELECT * FROM edge UNION ALL SELECT DISTINCT asset, 0, 0.0 FROM b0),
 b1 AS (SELECT b0.*, CAST(floor(u / {size}) AS BIGINT) AS k FROM b0),
-b2 AS (SELECT b1.*, CASE WHEN b1.k >= {w} THEN least(greatest(round((hi.dk - lo.dk) / {w}, 12), 0), 1) END AS vpin_value FROM b1 LEFT JOIN ends hi ON hi.asset = b1.asset AND hi.k = b1.k LEFT JOIN ends lo ON lo.asset = b1.asset AND lo.k = b1.k - {w}),
+b2 AS (SELECT b1.*, CASE WHEN b1.k >= {w} THEN least(greatest((hi.dk - lo.dk) / {w}, 0), 1) END AS vpin_value FROM b1 LEFT JOIN ends hi ON hi.asset = b1.asset AND hi.k = b1.k LEFT JOIN ends lo ON lo.asset = b1.asset AND lo.k = b1.k - {w}),
 lab AS (SELECT *, {cases(("vpin_value < 0.2", "CALME", margin("(0.2 - vpin_value) / 0.2")), ("vpin_value > 0.4", "TOXIQUE", margin("(vpin_value - 0.4) / (1 - 0.4)")), ("vpin_value IS NOT NULL", "NORMAL", "0.5"))} FROM b2)"""
 
 
@@ -232,11 +232,11 @@ def renamed(**labels: str) -> str:
     return "CASE regime " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in labels.items()) + " ELSE regime END"
 
 
-GRID = "grid AS (SELECT asset, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM bars GROUP BY asset), g0 AS (SELECT grid.asset, grid.ts, bars.* EXCLUDE (asset, ts), CASE WHEN bars.ts IS NULL THEN 0 ELSE 1 END AS ok FROM grid LEFT JOIN bars ON bars.asset = grid.asset AND bars.ts = grid.ts)"
+GRID = "grid AS (SELECT asset, unnest(generate_series(min(ts), max(ts), INTERVAL 1 HOUR)) AS ts FROM bars GROUP BY asset), g0 AS (SELECT grid.asset, grid.ts, bars.* EXCLUDE (asset, ts), CASE WHEN bars.ts IS NULL THEN 0 ELSE 1 END AS here, CASE WHEN bars.ts IS NULL OR bars.is_partial THEN 0 ELSE 1 END AS ok FROM grid LEFT JOIN bars ON bars.asset = grid.asset AND bars.ts = grid.ts)"
 
 
 def targets(k: int = 3) -> str:
-    """``tg``: forward targets on the grid, present bars only."""
+    """``tg``: forward targets on the grid; each bar from start to end must be there and whole."""
     ahead, now = frame(1, k), frame(0, k)
     first = lambda col, sign: f"(SELECT arg_min(j, (-({sign}) * v, j)) FROM (VALUES (0, close), " + ", ".join(f"({j}, lead_{col}_{j})" for j in range(1, k + 1)) + ") t(j, v))"
     leads = ", ".join(f"lead({c}, {j}) OVER {W} AS lead_{c}_{j}" for c in ("high", "low") for j in range(1, k + 1))
@@ -246,10 +246,29 @@ g1 AS (SELECT *, ln(close / lag(close) OVER {W}) AS ret, {leads} FROM g0),
 g2 AS (SELECT *, {whole} AS whole, ln(lead(close, {k}) OVER {W} / close) AS r_, stddev_samp(ret) OVER {ahead} AS v_, min(close) OVER {now} / close - 1 AS cmin, max(close) OVER {now} / close - 1 AS cmax, greatest(close, max(high) OVER {ahead}) / close - 1 AS up_, least(close, min(low) OVER {ahead}) / close - 1 AS dn_, lead(ts, {k}) OVER {W} AS end_ FROM g1),
 tg AS (SELECT asset, ts, CASE WHEN whole THEN r_ END AS ret_fwd_3, CASE WHEN whole THEN v_ END AS vol_fwd_3, CASE WHEN whole THEN cmin END AS close_min_fwd_3, CASE WHEN whole THEN cmax END AS close_max_fwd_3,
   CASE WHEN whole THEN up_ END AS mfe_long_fwd_3, CASE WHEN whole THEN dn_ END AS mae_long_fwd_3, CASE WHEN whole THEN -dn_ END AS mfe_short_fwd_3, CASE WHEN whole THEN -up_ END AS mae_short_fwd_3,
-  CASE WHEN whole THEN {first('high', 1)} END AS time_mfe_long_fwd_3, CASE WHEN whole THEN {first('low', -1)} END AS time_mae_long_fwd_3, CASE WHEN whole THEN end_ END AS ret_fwd_3_end FROM g2 WHERE ok = 1)"""
+  CASE WHEN whole THEN {first('high', 1)} END AS time_mfe_long_fwd_3, CASE WHEN whole THEN {first('low', -1)} END AS time_mae_long_fwd_3, CASE WHEN whole THEN end_ END AS ret_fwd_3_end FROM g2 WHERE here = 1)"""
+
+
+def profile(f: int = 20, bins: int = 10) -> str:
+    """Each bar's volume is spread evenly over the bins that it touches; the area goes from the bin that reaches a fifth to that which reaches four fifths."""
+    return f"""{bars()},
+b0 AS (SELECT *, row_number() OVER {W} AS k, min(low) OVER {frame(-(f - 1), 0)} AS lo, max(high) OVER {frame(-(f - 1), 0)} AS hi FROM bars),
+b1 AS (SELECT t.asset, t.ts, t.lo, t.hi, w.high, w.low, greatest(w.volume, 0) AS volume FROM b0 t JOIN b0 w ON w.asset = t.asset AND w.k BETWEEN t.k - {f - 1} AND t.k WHERE t.k >= {f} AND t.hi > t.lo),
+b2 AS (SELECT *, least(greatest(CASE WHEN high <= low THEN floor((low - lo) / (hi - lo) * {bins}) ELSE ceil(round((low - lo) / (hi - lo) * {bins}, 9)) - 1 END, 0), {bins - 1}) AS first,
+  least(greatest(CASE WHEN high <= low THEN floor((low - lo) / (hi - lo) * {bins}) ELSE ceil(round((high - lo) / (hi - lo) * {bins}, 9)) - 1 END, 0), {bins - 1}) AS last FROM b1),
+b3 AS (SELECT asset, ts, any_value(lo) AS lo, any_value(hi) AS hi, j, sum(CASE WHEN j BETWEEN first AND last THEN volume / (last - first + 1) ELSE 0 END) AS held FROM b2, range({bins}) t(j) GROUP BY asset, ts, j),
+b4 AS (SELECT *, sum(held) OVER (PARTITION BY asset, ts ORDER BY j ROWS UNBOUNDED PRECEDING) / nullif(sum(held) OVER (PARTITION BY asset, ts), 0) AS share FROM b3),
+b5 AS (SELECT asset, ts, lo + (hi - lo) / {bins} * min(j) FILTER (share >= 0.2 - 1e-12) AS va_low, lo + (hi - lo) / {bins} * (min(j) FILTER (share >= 0.8 - 1e-12) + 1) AS va_high FROM b4 GROUP BY asset, ts, lo, hi),
+b6 AS (SELECT bars.*, va_low, va_high, CASE WHEN va_low IS NOT NULL THEN CASE WHEN close < va_low THEN close - va_low WHEN close > va_high THEN close - va_high ELSE 0 END END AS distance_va FROM bars LEFT JOIN b5 ON b5.asset = bars.asset AND b5.ts = bars.ts),
+lab AS (SELECT *, {cases(("close < va_low", "HORS_ZONE_BASSE", margin("abs(distance_va) / nullif(va_high - va_low, 0)")), ("close > va_high", "HORS_ZONE_HAUTE", margin("abs(distance_va) / nullif(va_high - va_low, 0)")), ("va_low IS NOT NULL", "DANS_ZONE_VALEUR", "0.5"))} FROM b6)"""
 
 
 STUDY = f"{labelled()}, {targets()}, sr AS (SELECT rows.*, tg.ret_fwd_3, tg.ret_fwd_3_end FROM rows JOIN tg USING (asset, ts))"
+#: ``ds``: study rows of three folds, as their bounds follow from 300 rows, a ratio of 0.7, an embargo of 2 and 3 folds.
+FOLDS = f"""{STUDY}, nr AS (SELECT *, row_number() OVER {W} - 1 AS k FROM sr), z AS (SELECT CAST(floor(298 / (3 + 0.7 / (1 - 0.7))) AS BIGINT) AS t), y AS (SELECT t, CAST(round(t * 0.7 / (1 - 0.7)) AS BIGINT) AS tr FROM z),
+fo AS (SELECT f AS fold, f * t AS train_lo, tr + f * t AS train_hi, tr + 2 + f * t AS test_lo, least(tr + 2 + f * t + t, 300) AS test_hi FROM y, range(3) x(f)),
+tb AS (SELECT asset, fold, min(ts) AS begin FROM nr, fo WHERE k >= test_lo AND k < test_hi GROUP BY asset, fold),
+ds AS (SELECT nr.*, fo.fold, 'test' AS part FROM nr, fo WHERE k >= test_lo AND k < test_hi UNION ALL SELECT nr.*, fo.fold, 'train' FROM nr, fo JOIN tb ON tb.fold = fo.fold WHERE tb.asset = nr.asset AND k >= train_lo AND k < train_hi AND ret_fwd_3_end < begin)"""
 SEG = f"{labelled()}, sg AS (SELECT *, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS segment_id FROM rows)"
 NY = "timezone('America/New_York', timezone('UTC', ts - INTERVAL {0}))"
 LOCAL = NY.format("1 hour")
@@ -272,7 +291,7 @@ count_if(bid_price <= 0 OR ask_price <= 0) AS price_not_positive, count_if(bid_v
 z AS (SELECT *, time_bucket(INTERVAL 4 HOUR, ts - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01') + INTERVAL 4 HOUR AS e FROM bars),
 a AS (SELECT asset, e AS ts, arg_min(open, z.ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, z.ts) AS close, sum(volume) AS volume, avg(spread_mean) AS spread_mean, max(spread_max) AS spread_max, arg_max(spread_close, z.ts) AS spread_close, CAST(sum(tick_count) AS BIGINT) AS tick_count, count(*) AS source_count, max(is_partial) AS doubt FROM z GROUP BY asset, e)
 SELECT asset, {at()}, {rs('open', 'high', 'low', 'close', 'volume', 'spread_mean', 'spread_max', 'spread_close')}, {r('source_count / 4', 'coverage')}, tick_count, source_count, CAST(4 AS BIGINT) AS expected_count, doubt OR source_count <> 4 AS is_partial FROM a""",
-    "missing_bars": f"WITH {bars()}, {GRID} SELECT asset, count(*) AS expected, count_if(ok = 0) AS missing FROM g0 GROUP BY asset",
+    "missing_bars": f"WITH {bars()}, {GRID} SELECT asset, count(*) AS expected, count_if(here = 0) AS missing FROM g0 GROUP BY asset",
     "validity_mask": f"WITH {labelled()} SELECT asset, count(*) AS n, count(regime) AS n_valid FROM rows GROUP BY asset",
     "context_sessions": f"""WITH {bars()} SELECT asset, {at()}, CASE WHEN {MINUTE} >= 480 AND {MINUTE} < 1020 THEN 'NEW_YORK' WHEN {MINUTE} >= 180 AND {MINUTE} < 480 THEN 'LONDRES' WHEN {MINUTE} >= 1140 OR {MINUTE} < 180 THEN 'ASIE' ELSE 'HORS_SESSION' END AS ctx_session,
 CAST(hour({LOCAL}) AS INTEGER) AS ctx_hour_ny, CAST(hour(ts - INTERVAL 1 HOUR) AS INTEGER) AS ctx_hour_utc FROM bars""",
@@ -296,6 +315,14 @@ k AS (SELECT *, count(*) OVER (PARTITION BY asset, y) AS c, rank() OVER (PARTITI
 v AS (SELECT DISTINCT asset, value FROM k)
 SELECT v.asset, v.value, count_if(k.value = v.value) AS n, count_if(k.value <> v.value) AS n_rest, {r('avg(k.y) FILTER (k.value = v.value)', 'mean')}, {r('avg(k.y) FILTER (k.value <> v.value)', 'mean_rest')}, {r('var_samp(k.y) FILTER (k.value = v.value)', 'var')}, {r('var_samp(k.y) FILTER (k.value <> v.value)', 'var_rest')},
 {r('quantile_cont(k.y, 0.5) FILTER (k.value = v.value)', 'median')}, {r('sum(rk + (c - 1) / 2) FILTER (k.value = v.value)', 'rank_sum')}, {r('sum(CAST(c * c - 1 AS DOUBLE))', 'ties')}, count_if(k.value = v.value AND y > 0) AS hits, count_if(k.value <> v.value AND y > 0) AS hits_rest FROM v JOIN k ON k.asset = v.asset GROUP BY v.asset, v.value""",
+    "walk_forward": f"WITH {FOLDS} SELECT asset, CAST(fold AS INTEGER) AS fold, part, count(*) AS n, CAST(min(epoch(ts)) AS BIGINT) AS first_ts, CAST(max(epoch(ts)) AS BIGINT) AS last_ts FROM ds GROUP BY asset, fold, part",
+    "ic_stability": f"""WITH {FOLDS}, h AS (SELECT asset, fold, high - low AS x, ret_fwd_3 AS y FROM ds WHERE part = 'test' AND ret_fwd_3 IS NOT NULL),
+k AS (SELECT asset, fold, rank() OVER (PARTITION BY asset, fold ORDER BY x) + (count(*) OVER (PARTITION BY asset, fold, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY asset, fold ORDER BY y) + (count(*) OVER (PARTITION BY asset, fold, y) - 1) / 2 AS ry FROM h),
+i AS (SELECT asset, fold, CASE WHEN count(*) >= 10 THEN corr(rx, ry) END AS ic FROM k GROUP BY asset, fold)
+SELECT asset, count(*) AS folds, {r('avg(ic)', 'ic_mean')}, {r('stddev_samp(ic)', 'ic_std')}, {r('min(ic)', 'ic_min')}, {r('max(ic)', 'ic_max')} FROM i GROUP BY asset""",
+    "modality_stability": f"""WITH {FOLDS}, h AS (SELECT asset, fold, regime AS value, ret_fwd_3 AS y FROM ds WHERE part = 'test' AND ret_fwd_3 IS NOT NULL AND regime IS NOT NULL),
+v AS (SELECT DISTINCT asset, fold, value FROM h), e AS (SELECT v.asset, v.value, avg(y) FILTER (h.value = v.value) - avg(y) FILTER (h.value <> v.value) AS d FROM v JOIN h ON h.asset = v.asset AND h.fold = v.fold GROUP BY v.asset, v.fold, v.value)
+SELECT asset, value, count(*) AS folds, count(d) AS estimable, {r('avg(d)', 'mean')}, {r('min(d)', 'min')}, {r('max(d)', 'max')}, count(*) FILTER (d > 0) AS n_up, count(*) FILTER (d < 0) AS n_down, {r('greatest(count(*) FILTER (d > 0), count(*) FILTER (d < 0)) / nullif(count(d), 0)', 'same_sign')} FROM e GROUP BY asset, value""",
     "episode_counts": f"WITH {labelled()}, {episode()} SELECT asset, regime, count(*) AS n, count(DISTINCT episode) AS n_episodes FROM eps WHERE regime IS NOT NULL GROUP BY asset, regime",
     "state_statistics": f"""WITH {labelled()}, a AS (SELECT asset, regime, count(*) AS n, avg(volume) AS mean_vol, avg(close - open) AS mean_ret, stddev_samp(close - open) AS std_ret, avg(high - low) AS mean_range FROM rows WHERE regime IS NOT NULL GROUP BY asset, regime)
 SELECT asset, regime, n, {r('100 * n / sum(n) OVER (PARTITION BY asset)', 'share')}, {rs('mean_vol', 'mean_ret', 'std_ret', 'mean_range')} FROM a""",
@@ -353,6 +380,7 @@ SELECT asset, regime, {at('debut')}, {at('fin')}, bars, {rs('net', 'path', 'ampl
     "detector_quote_size_imbalance": detector(ofi().replace("ofi_value", "quote_imbalance"), "lab", {"quote_imbalance": "r"}, renamed(PRESSION_ACHETEUSE="TAILLE_ASK_DOMINANTE", PRESSION_VENDEUSE="TAILLE_BID_DOMINANTE")),
     "detector_vpin": detector(vpin(), "lab", {"vpin_value": "r"}),
     "detector_quote_absolute_imbalance_buckets": detector(vpin().replace("vpin_value", "quote_absolute_imbalance"), "lab", {"quote_absolute_imbalance": "r"}, renamed(CALME="DESEQUILIBRE_FAIBLE", NORMAL="DESEQUILIBRE_MOYEN", TOXIQUE="DESEQUILIBRE_ELEVE")),
+    "detector_volume_profile": detector(profile(), "lab", {"va_low": "r", "va_high": "r", "distance_va": "r"}),
     "detector_divergence_pv": detector(divergence(), "lab", {"volume_rel": "r", "is_new_high": "v", "is_new_low": "v"}),
     "bar_checks": f"""WITH {bars()} SELECT asset, count(*) AS n_rows, count_if(open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL) AS not_finite, count_if(least(open, high, low, close) <= 0) AS not_positive,
 count_if(high < greatest(open, close, low)) AS high_too_low, count_if(low > least(open, close, high)) AS low_too_high, count_if(volume < 0 OR bid_volume < 0 OR ask_volume < 0) AS bad_volume FROM bars GROUP BY asset""",

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
@@ -68,7 +68,9 @@ def shown(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
 def labelled(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         detector = REGISTRY[name]
-        found = detector.detect(hourly(spark, sf_dir), "H1", allow_lookahead=True, **PARAMETERS[name])
+        bars = hourly(spark, sf_dir)
+        # the causal model of hidden states accepts whole bars alone
+        found = detector.detect(bars.filter("not is_partial") if name == "hmm_causal" else bars, "H1", allow_lookahead=True, **PARAMETERS[name])
         kinds = dict(found.dtypes)
         measures = [r(m) if kinds[m] == "double" else at(m) if kinds[m] == "timestamp" else F.col(m) for m in detector.measures]
         return found.select("asset", at(), "regime", r("confidence"), *measures)
@@ -298,9 +300,30 @@ def protocol_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _study_rows(spark, sf_dir).withColumn("timeframe", F.lit("H1"))
-    whole = rows.withColumn("ts", F.timestamp_micros((F.row_number().over(Window.partitionBy(*KEYS).orderBy("ts"))).cast("long") * 3_600_000_000))
-    return study.bootstrap(whole, "regime", "ret_fwd_3", "H1", block=1, rounds=99).select("asset", "value", r("estimate"), r("low"), r("high"), r("p"), "valid")
+    """Blocks of four bars on the true grid, of the pooled quotes, whose hours have no holes."""
+    bars = pooled(spark, sf_dir)
+    found = REGISTRY["atr_volatility"].detect(bars, "H1", **PARAMETERS["atr_volatility"])
+    goal = targets.forward(bars, "H1", ["ret_fwd_3"])
+    rows = found.withColumn("regime", F.when(F.col("regime") != "INCONNU", F.col("regime"))).join(goal, [*KEYS, "ts"])
+    return study.bootstrap(rows, "regime", "ret_fwd_3", "H1", block=4).select("asset", "value", r("estimate"), r("low"), r("high"), r("p"), "valid")
+
+
+def ic_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How rank correlations vary between the test parts of three folds."""
+    rows = _study_rows(spark, sf_dir)
+    dealt = study.split(rows, study.folds(300, "walk_forward", ratio=0.7, embargo=2, count=3), "ret_fwd_3").filter("part = 'test'")
+    each = study.rank_correlation(dealt, "range_now", "ret_fwd_3", ["asset", "fold"])
+    return study.ic_stability(each, ["asset"]).select("asset", "folds", r("ic_mean"), r("ic_std"), r("ic_min"), r("ic_max"))
+
+
+def modality_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signs of each label's effect over three folds."""
+    rows = _study_rows(spark, sf_dir)
+    dealt = study.split(rows, study.folds(300, "walk_forward", ratio=0.7, embargo=2, count=3), "ret_fwd_3").filter("part = 'test'")
+    each = study.modality_statistics(dealt, "regime", "ret_fwd_3", ["asset", "fold"])
+    effects = each.select(F.col("asset").alias("feature"), F.lit("ret_fwd_3").alias("target"), "value", (F.col("mean") - F.col("mean_rest")).alias("effect"), F.lit("descriptive").alias("status"))
+    out = study.stability(effects)
+    return out.select(F.col("feature").alias("asset"), "value", "folds", "estimable", r("mean"), r("min"), r("max"), "n_up", "n_down", r("same_sign"))
 
 
 def atr_volatility_long_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,7 +372,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         bars_h1, bars_mid_m15, bars_ask_w1, bars_gap_filled, tick_checks, tick_jumps, resampled_h4, missing_bars, validity_mask, context_sessions, context_calendar, context_events,
         session_grid, uniform_rows, forward_targets, rank_correlation, hit_rate, modality_statistics, walk_forward, episode_counts, state_statistics, persistence, transitions,
         confidence_statistics, conditional_statistics, daily_shares, segment_features, segment_purity, overall_purity, pelt_segments, future_efficiency, separation_score,
-        stratified_score, centred_volatility, directional_agreement, quantile_thresholds, switches, protocol_measures, bootstrap_effects, atr_volatility_long_frame,
+        stratified_score, centred_volatility, directional_agreement, quantile_thresholds, switches, protocol_measures, bootstrap_effects, ic_stability, modality_stability, atr_volatility_long_frame,
         bar_checks, time_checks, feature_matrix, nominal_codes, crossed_labels, clock_baseline,
     )
 } | {f"detector_{name}": labelled(name) for name in REGISTRY}

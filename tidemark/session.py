@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -38,10 +41,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one where that is unset, and on a local master only."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _FALLBACK:
         _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
@@ -83,13 +88,24 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def trim() -> None:
+    """Give what a worker has freed back to the system, where its allocator can; workers outlive their tasks."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """``df.mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
 
 
-def arrow_groups(df: DataFrame, keys: list[str], f: Callable, schema: str) -> DataFrame:
+def arrow_groups(df: DataFrame, keys: list[str], f: Callable, schema: StructType | str) -> DataFrame:
     """``applyInArrow`` on the groups of ``keys`` with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.groupBy(*keys).applyInArrow(f, schema)

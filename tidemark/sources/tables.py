@@ -87,7 +87,11 @@ def bars_of(df: DataFrame, asset: str, timeframe: str | None, *, convention: str
         ts = ts + F.make_interval(secs=F.lit(seconds(timeframe)))
     numbers = {"open", "high", "low", "close", "volume", "bid_volume", "ask_volume", "spread_mean", "spread_max", "spread_close", "ask_close", "coverage"}
     rest = [finite(F.col(c)).alias(c) if c in numbers else F.col(c) for c in df.columns if c not in (time, "asset", "timeframe")]
-    return df.select(F.lit(asset).alias("asset"), F.lit(timeframe).alias("timeframe"), ts.alias("ts"), *rest)
+    own = {}
+    for c, value in (("asset", asset), ("timeframe", timeframe)):
+        said = f"the declared {c} {value} is not that of the bars: "
+        own[c] = F.when(F.col(c) != value, F.raise_error(F.concat(F.lit(said), F.col(c)))).otherwise(F.lit(value)) if c in df.columns else F.lit(value)
+    return df.select(own["asset"].alias("asset"), own["timeframe"].alias("timeframe"), ts.alias("ts"), *rest)
 
 
 def load(spark: SparkSession, path: str, *, asset: str | None = None, side: str = "bid", timeframe: str | None = None, convention: str | None = None, zone: str | None = None, fill_seconds: int | None = None) -> BarFrame:
@@ -110,7 +114,9 @@ def holidays(spark: SparkSession, path: str) -> DataFrame:
     """(holiday): the distinct dates of a CSV with a date column."""
     df = spark.read.csv(path, header=True)
     require(df, ["date"])
-    return df.select(F.to_date("date").alias("holiday")).filter("holiday is not null").distinct()
+    day = F.try_to_date("date")
+    bad = F.raise_error(F.concat(F.lit("no date: "), F.coalesce("date", F.lit("(missing)")))).cast("date")
+    return df.select(F.when(day.isNull(), bad).otherwise(day).alias("holiday")).distinct()
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
@@ -146,6 +152,11 @@ def write_long(frames: list[DataFrame], path: str) -> None:
     out.write.mode("overwrite").partitionBy("timeframe", "method").parquet(path)
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV with a header, in as many files as it has partitions."""
+    df.write.mode("overwrite").csv(path, header=True)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file through the session's file system."""
     jvm = spark.sparkContext._jvm
@@ -161,8 +172,16 @@ def write_meta(spark: SparkSession, path: str, meta: dict) -> None:
     write_text(spark, path, json.dumps(meta, indent=1, sort_keys=True, default=str))
 
 
-def write_study(spark: SparkSession, tables: dict[str, DataFrame], manifest: dict, path: str) -> None:
-    """Tables staged beside the target and renamed in one step, the manifest last."""
+def refuse(path: str, inputs: tuple[str, ...]) -> None:
+    """An error where writing to ``path`` would overwrite an input."""
+    for own in inputs:
+        if f"{own.rstrip('/')}/".startswith(f"{path.rstrip('/')}/"):
+            raise InputError(f"{path} would overwrite the input {own}")
+
+
+def write_study(spark: SparkSession, tables: dict[str, DataFrame], manifest: dict, path: str, *, texts: dict[str, str] | None = None, inputs: tuple[str, ...] = ()) -> None:
+    """Tables and texts staged beside the target and renamed in one step, the manifest last; a target that holds an input is refused."""
+    refuse(path, inputs)
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     staged, target = jvm.org.apache.hadoop.fs.Path(f"{path}.staged"), jvm.org.apache.hadoop.fs.Path(path)
@@ -170,6 +189,8 @@ def write_study(spark: SparkSession, tables: dict[str, DataFrame], manifest: dic
     fs.delete(staged, True)
     for name, df in tables.items():
         df.write.parquet(f"{path}.staged/{name}")
+    for name, text in (texts or {}).items():
+        write_text(spark, f"{path}.staged/{name}", text)
     write_meta(spark, f"{path}.staged/manifest.json", manifest | {"tables": sorted(tables)})
     fs.delete(target, True)
     if not fs.rename(staged, target):

@@ -271,6 +271,24 @@ class CharModel:
             square[who] = np.add.reduceat(p * p, first, axis=0, dtype=np.float64)
         return size, bits, square
 
+    def score_words(self, column: pa.Array, own: np.ndarray, others: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of each text, and its -log2 p by words: each by the class ``own``, or by one of ``others`` (a flag for each class) for ``switch`` bits."""
+        raw, offsets = buffers(column)
+        size, bits = np.zeros(len(column), np.int64), np.zeros(len(column))
+        for i, _, part, at in chunks(raw, offsets):
+            line, place, doc = folded(part, at, self.order - 1, self.letters_only)
+            if not len(place):
+                continue
+            p = -self.log2([line[place - self.order + 1 + k] for k in range(self.order)])
+            new = np.r_[True, doc[1:] != doc[:-1]]
+            size[i + doc[new]] = np.diff(np.r_[np.flatnonzero(new), len(doc)])
+            word = np.flatnonzero(new | np.r_[False, line[place][:-1] == BLANK])
+            each, who = np.add.reduceat(p, word, axis=0, dtype=np.float64), i + doc[word]
+            best = np.where(others[who], each + switch, np.inf).min(axis=1, initial=np.inf)
+            best = np.minimum(best, np.where(own[who] >= 0, each[np.arange(len(who)), np.maximum(own[who], 0)], np.inf))
+            bits += np.bincount(who, weights=best, minlength=len(bits))
+        return size, bits
+
 
 def _discounts(c: np.ndarray, modified: bool) -> np.ndarray:
     """The discount of a count of 1, 2 and 3 or more."""

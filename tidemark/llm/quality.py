@@ -4,7 +4,8 @@ The model is a modified Kneser-Ney model of character n-grams of order ``ORDER``
 language, counted by Spark and kept in sorted hash arrays (see charlm). It counts the documents that
 are labelled good, or all of a language that has none such, and a text is judged by a model that has
 not counted it or its copies: texts are dealt into ``FOLDS``, and each fold is judged by a model of
-the others. A document is rejected when its perplexity lies outside its language's band; bands come
+the others. A word that another language's model finds likelier by SWITCH_BITS is judged by that one, so that
+passages in other languages cost little. A document is rejected when its perplexity lies outside its language's band; bands come
 from the quartiles of the good documents' log-perplexities, widened for short texts.
 
 Defined cases: a null text has no words, fails the base rules and isn't kept; a null language is
@@ -34,6 +35,8 @@ FOLDS = 2
 BROADCAST_ROWS = 500_000
 #: Bands reach this many interquartile ranges and bits beyond the quartiles; a text of n characters gets LENGTH_BITS / sqrt(n) more.
 BAND_IQR, BAND_BITS, LENGTH_BITS = 4.0, 0.35, 12.0
+#: What a word costs more by the model of another language than its document's.
+SWITCH_BITS = 2.0
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -149,12 +152,14 @@ def measure(rows: DataFrame, model: charlm.CharModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         number = {c: i for i, c in enumerate(model.classes)}
+        fold_of = np.array([int(c.split(":")[0]) for c in model.classes], np.int64)
         for batch in batches:
             stats = text_stats(batch.column(1))
             lang = batch.column(2)
-            size, bits, _ = model.score(batch.column(1))
-            own = np.array([number.get(f"{f}:{x}", -1) for f, x in zip(batch.column(4).to_pylist(), lang.to_pylist(), strict=True)], np.int64)
-            value = bits[np.arange(len(own)), np.maximum(own, 0)] / np.maximum(size, 1) if len(model.classes) else np.zeros(len(own))
+            fold = batch.column(4).to_numpy(zero_copy_only=False).astype(np.int64)
+            own = np.array([number.get(f"{f}:{x}", -1) for f, x in zip(fold.tolist(), lang.to_pylist(), strict=True)], np.int64)
+            size, bits = model.score_words(batch.column(1), own, (fold_of == fold[:, None]) & (own >= 0)[:, None], SWITCH_BITS) if len(model.classes) else (np.zeros(len(own), np.int64), np.zeros(len(own)))
+            value = np.where(own >= 0, bits, 0.0) / np.maximum(size, 1)
             yield pa.RecordBatch.from_arrays([batch.column(0), lang, batch.column(3), *(pa.array(stats[k]) for k in STATS), pa.array(size), pa.array(value, pa.float64(), mask=own < 0)], ["doc_id", "lang", "good", *STATS, "n_chars", "bits"])
 
     return arrow_map(rows.select("doc_id", "text", "lang", "good", "fold"), run, "doc_id long, lang string, good boolean, " + ", ".join(f"{k} long" for k in STATS) + ", n_chars long, bits double")

@@ -63,15 +63,15 @@ def _stars(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
-def pairs_of_keys(crowded: DataFrame, keys: list[str], payload: list[str]) -> DataFrame:
-    """Crowded buckets split by the other crowded buckets of their items: items meet that share two.
+def pairs_of_bands(crowded: DataFrame, bands: int, reach: int, payload: list[str]) -> DataFrame:
+    """Crowded buckets (band, h) split by the crowded buckets of their items in the next ``reach`` bands: items meet that share two such.
 
     Items that share a crowded bucket and one that isn't are compared in the latter.
     """
-    one = crowded.withColumn("key", F.xxhash64(*keys)).select("id", "root", *payload, "key")
-    two = one.select(F.col("id").alias("__id"), F.col("key").alias("__key"))
-    both = one.join(two, (F.col("id") == F.col("__id")) & (F.col("key") < F.col("__key")))
-    return both.select("id", "root", *payload, F.xxhash64("key", "__key").alias("key"))
+    one = crowded.select("id", "root", *payload, "band", "h")
+    two = crowded.select(F.col("id").alias("__id"), F.col("band").alias("__band"), F.col("h").alias("__h"))
+    both = one.join(two, (F.col("id") == F.col("__id")) & F.pmod(F.col("__band") - F.col("band"), F.lit(bands)).between(1, reach))
+    return both.select("id", "root", *payload, F.xxhash64("band", "h", "__band", "__h").alias("key"))
 
 
 def link(members: DataFrame, keys: list[str], near: Callable[[DataFrame], DataFrame], possible: Callable[[str, str], Column], payload: list[str], *, alone: dict[str, Column], couple: str, resplit: Callable[[DataFrame], DataFrame], extra: DataFrame | None = None, bound: Callable[[str, str], Column] | None = None) -> DataFrame:

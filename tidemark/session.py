@@ -77,7 +77,8 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once an application, unless their path already has it."""
+    """Send this package to the Python workers, once an application, unless their path already has it; and bound their batches."""
+    bound_batches(spark)
     home = Path(__file__).resolve().parent.parent
     app = spark.sparkContext.applicationId
     if app in _SHIPPED or str(home) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
@@ -94,8 +95,20 @@ def trim() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+#: Bytes of an Arrow batch, and rows where Spark can't count bytes: ten thousand long texts would be gigabytes.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches of bounded size, unless the session has sizes of its own."""
+    limits = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES, "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS}
+    for key, most in limits.items():
+        if spark.conf.get(key, None) is None:  # not set by the session
+            spark.conf.set(key, str(most))
+
+
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers, on batches of bounded size."""
     ship(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:

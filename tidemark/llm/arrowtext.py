@@ -23,7 +23,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text handled at once, and the most documents among them (so that 12 bits number them).
-CHUNK_BYTES, CHUNK_DOCS = 1 << 20, 4096
+CHUNK_BYTES, CHUNK_DOCS = 1 << 18, 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:

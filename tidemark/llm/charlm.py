@@ -23,7 +23,7 @@ from tidemark.llm.arrowtext import U64, buffers, chunks, mix
 from tidemark.session import arrow_map
 
 #: Rows of new counts at which a task merges them, and distinct n-grams at which it sends what it has.
-HELD, FLUSH = 500_000, 1_000_000
+HELD, FLUSH = 250_000, 1_000_000
 BLANK = 32
 _M = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)]
 _FOLD: dict[str, np.ndarray] = {}

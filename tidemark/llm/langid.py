@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import charlm
-from tidemark.session import arrow_map, ship
+from tidemark.session import arrow_map, ship, trim
 
 ORDER = 4
 #: A training row in this many (by the key's checksum) calibrates and isn't counted.
@@ -90,6 +90,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     @F.arrow_udf("lang_pred string, lang_score double, lang_bits double, lang_rejected boolean")
     def judged(texts: pa.Array) -> pa.Array:
         lang, score, bits, rejected = shared.value.judge(texts)
+        trim()
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected)], ["lang_pred", "lang_score", "lang_bits", "lang_rejected"])
 
     rest = docs.drop("lang_pred", "lang_score", "lang_bits", "lang_rejected")

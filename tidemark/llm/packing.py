@@ -33,7 +33,7 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary())])
 
 #: Words whose ids a worker remembers before it starts anew.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 
 
 def _latin(kind: str) -> str:

@@ -97,5 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_licenses": licenses.oracle(),
+    "op4_sharding": sharding.oracle(SHARDS),
     "op6_decontam": decontam.oracle(),
+    "op10_neardup": neardup.oracle(3, 85),
 }

@@ -48,9 +48,13 @@ def shard(docs: DataFrame, shards: int, *, key: str = "doc_id", overhead: int =
 
 
 def oracle(shards: int, overhead: int = 16) -> str:
-    """DuckDB SQL for the shards of ``documents`` in doc_id order."""
+    """DuckDB SQL for the shards of ``documents`` in doc_id order; the text's CRC-32 by a table of its 256 steps."""
     return f"""
-WITH s AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + {overhead} AS BIGINT) AS size, coalesce(text, '') AS text FROM documents),
+WITH RECURSIVE steps(b, k, v) AS (SELECT b, 0, b FROM range(256) x(b) UNION ALL SELECT b, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps WHERE k = 8),
+s AS (SELECT doc_id, CAST(coalesce(strlen(text), 0) + {overhead} AS BIGINT) AS size, coalesce(text, '') AS text FROM documents),
 p AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS hi, sum(size) OVER () AS total FROM s),
-d AS (SELECT *, CAST(least(({shards} * (2 * CAST(hi AS BIGINT) - size)) // (2 * CAST(total AS BIGINT)), {shards - 1}) AS INTEGER) AS shard FROM p)
-SELECT doc_id, size, 'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM d"""
+d AS (SELECT *, CAST(least(({shards} * (2 * CAST(hi AS BIGINT) - size)) // (2 * CAST(total AS BIGINT)), {shards - 1}) AS INTEGER) AS shard FROM p),
+h AS (SELECT *, hex(encode(text)) AS x FROM d)
+SELECT doc_id, size, CAST(xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, CAST(strlen(x) AS BIGINT), 2), lambda i: CAST(('0x' || substr(x, i, 2)) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) AS BIGINT) AS text_crc32,
+  'bytes' AS law, shard, CAST(row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM h, crc"""

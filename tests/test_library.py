@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
@@ -349,6 +350,62 @@ def test_study(spark, tmp_path):
     assert len(found) == 6 and all(r["adjusted"] is None or r["adjusted"] >= r["p"] for r in found)
 
 
+def test_calibration_measures(spark):
+    bars = make(spark, walk(200)).cache()
+    rows = calibration.terciles(calibration.terciles(bars, "volume").withColumnRenamed("tercile", "a"), "close").withColumnRenamed("tercile", "b")
+    r = calibration.block_agreement(rows, "a", "b", F.dayofyear("ts")).first()
+    assert r.kappa == pytest.approx(calibration.agreement(rows, "a", "b")) and r.least_kappa <= r.kappa and r.n_blocks == 9
+    assert calibration.block_agreement(rows, "a", "a", F.lit(0)).first().kappa == pytest.approx(1)
+    shifted = bars.withColumn("later", F.lag("close", 2).over(Window.partitionBy("asset").orderBy("ts")))
+    r = calibration.lagged_correlation(shifted, "close", "later", [0, 1, 2, 3]).first()
+    assert r.best_lag == 2 and r.rho_max == pytest.approx(1) and r.rho_lag0 < 1
+    found = calibration.validated_search({"a": [1, 2, 3]}, lambda part, a: {("x", 1): 1.0, ("x", 2): 3.0, ("x", 3): 2.0, ("y", 1): 5.0, ("y", 2): 4.0, ("y", 3): None}[part, a], [("x", "y")])
+    assert found[0]["a"] == 2 and found[0]["test_rank"] == 2 and found[0]["regret"] == 1 and found[0]["best_of_test"] == {"a": 1}
+    swept = calibration.kappa_sweep([{"k": 1, "n": 1, "score": 0.5}, {"k": 1, "n": 2, "score": 0.6}, {"k": 2, "n": 1, "score": 0.4}], "k", 0.1)
+    assert [(x["k"], x["kappa"], x["plateau"]) for x in swept] == [(1, 0.6, True), (2, 0.4, False)]
+    rates = {r.tercile: r for r in calibration.protocol_rates(calibration.terciles(bars, "close"), "tercile", "H1").collect()}
+    assert sum(r.occupancy for r in rates.values()) == pytest.approx(1) and sum(r.bars for r in rates.values()) == 200
+    assert sum(r.per_100_hours for r in rates.values()) == pytest.approx(sum(r.n_episodes for r in rates.values()) / 2)
+    measured = calibration.protocol_measures(calibration.terciles(bars, "close"), "tercile", "H1", {"HIGH": 1, "LOW": -1}).collect()
+    assert all(r.declared_net == pytest.approx(-r.net) for r in measured if r.tercile == "LOW") and all(r.declared_net is None for r in measured if r.tercile == "MIDDLE")
+    counts = V.exclusion_counts(REGISTRY["ofi"].detect(bars, "H1", fenetre=20)).first()
+    assert counts.n_valid + counts.n_excluded == counts.n_rows == 200 and counts.n_unknown == counts.n_excluded == 9
+    with pytest.raises(InputError):
+        V.prepare_prices(make(spark, walk(10), asset="Y"), bars, "H1", "H1")
+
+
+def test_streamed_recurrences_equal_batch(spark, tmp_path):
+    from pyspark.sql.types import StructType
+
+    whole = make(spark, walk(120, seed=9))
+    for k in range(3):
+        whole.orderBy("ts").offset(40 * k).limit(40).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    read = lambda: spark.readStream.schema(StructType(whole.schema.fields)).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{tmp_path}/in")
+
+    def streamed(name, f):
+        q = f(read()).writeStream.format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/c_{name}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        return spark.table(name).orderBy("ts").collect()
+
+    got = [r.vpin_value for r in streamed("buckets", lambda b: stream.vpin(b, 30.0, 5))]
+    want = [r.vpin_value for r in kernels.vpin(whole, 30.0, 5).orderBy("ts").collect()]
+    assert [x is None for x in got] == [x is None for x in want] and all(a == pytest.approx(b, abs=1e-9) for a, b in zip(got, want, strict=True) if a is not None)
+    got = [(r.ts, r.pivot, r.value) for r in streamed("pivots", lambda b: stream.confirmed_pivots(b, 2)) if r.pivot is not None]
+    rows = whole.orderBy("ts").collect()
+    expected = []
+    for k in range(2, 118):
+        near = [rows[j] for j in (k - 2, k - 1, k + 1, k + 2)]
+        top, bottom = rows[k].high > max(r.high for r in near), rows[k].low < min(r.low for r in near)
+        if top != bottom:
+            expected.append((rows[k + 2].ts, 1.0 if top else -1.0, rows[k].high if top else rows[k].low))
+    assert got == expected and len(got) > 5
+    x = np.array([[r.close, r.volume] for r in rows])
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    model = kernels.hmm_fit((x - mean) / spread, 2, 20, 1)
+    got = streamed("states", lambda b: stream.hidden_states(b, model, mean, spread, ["close", "volume"]))
+    assert np.allclose([r.probability for r in got], kernels.hmm_filter((x - mean) / spread, model).max(axis=1))
+
+
 def test_purge_drops_targets_that_reach_the_test(spark):
     bars = make(spark, walk(60))
     rows = targets.forward(bars, "H1", ["ret_fwd_5"])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import windows as W
 from tidemark.functions.statistics import kappa
+from tidemark.operators.study import rank_correlation
 from tidemark.schema import KEYS, micros, seconds
 
 LEAST_STRATUM = 30
@@ -104,6 +105,45 @@ def fidelity(rows: DataFrame, label: str, reference: str, lags: list[int]) -> li
     return out
 
 
+def lagged_correlation(rows: DataFrame, measure: str, reference: str, lags: list[int]) -> DataFrame:
+    """Per series Spearman's rho at lag 0, the greatest over the lags and the lag that has it; the measure is taken so many bars earlier."""
+    made = [F.struct(F.lit(k).alias("lag"), (W.lag(measure, k) if k else F.col(measure)).alias("x")) for k in lags]
+    each = rows.withColumn("__lags", F.array(*made)).select(*KEYS, F.col(reference).alias("y"), F.explode("__lags").alias("l")).select(*KEYS, "l.lag", "l.x", "y")
+    found = rank_correlation(each, "x", "y", [*KEYS, "lag"])
+    best = F.max_by("lag", F.struct("ic", -F.col("lag")))
+    return found.groupBy(*KEYS).agg(F.max(F.when(F.col("lag") == 0, F.col("ic"))).alias("rho_lag0"), F.max("ic").alias("rho_max"), best.alias("best_lag"))
+
+
+def block_agreement(rows: DataFrame, a: str, b: str, block: Column) -> DataFrame:
+    """Per series Cohen's kappa over all rows, and the least of its blocks, from contingency counts."""
+    counts = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(*KEYS, block.alias("block"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))
+
+    def kappas(held: DataFrame, by: list[str]) -> DataFrame:
+        whole = Window.partitionBy(*by)
+        shared = held.withColumn("n_all", F.sum("n").over(whole)).withColumn("row", F.sum("n").over(Window.partitionBy(*by, "a"))).withColumn("col", F.sum("n").over(Window.partitionBy(*by, "b")))
+        same = F.col("a") == F.col("b")
+        # chance is the sum over labels of both shares; a label that never agrees has no cell of its own, so it comes from the margins
+        left = held.groupBy(*by, F.col("a").alias("label")).agg(F.sum("n").alias("l"))
+        right = held.groupBy(*by, F.col("b").alias("label")).agg(F.sum("n").alias("r"))
+        chance = left.join(right, [*by, "label"]).groupBy(*by).agg(F.sum(F.col("l") * F.col("r")).alias("chance"))
+        agree = shared.groupBy(*by).agg(F.sum(F.when(same, F.col("n")).otherwise(0)).alias("agree"), F.first("n_all").alias("n"))
+        both = agree.join(chance, by, "left").withColumn("c", F.coalesce(F.col("chance"), F.lit(0)) / (F.col("n") * F.col("n")))
+        return both.select(*by, "n", F.when(F.col("c") == 1, 1.0).otherwise((F.col("agree") / F.col("n") - F.col("c")) / (1 - F.col("c"))).alias("kappa"))
+
+    blocks = kappas(counts, [*KEYS, "block"]).groupBy(*KEYS).agg(F.min("kappa").alias("least_kappa"), F.count("*").alias("n_blocks"))
+    return kappas(counts.groupBy(*KEYS, "a", "b").agg(F.sum("n").alias("n")), KEYS).join(blocks, KEYS)
+
+
+def kappa_sweep(found: list[dict], parameter: str, tolerance: float) -> list[dict]:
+    """For each value of a parameter its best kappa over all others, and whether it lies on the plateau."""
+    best: dict = {}
+    for p in found:
+        if p["score"] is not None and p["score"] > best.get(p[parameter], (-2.0,))[0]:
+            best[p[parameter]] = (p["score"], p)
+    top = max((v[0] for v in best.values()), default=0.0)
+    return [{parameter: k, "kappa": v[0], "plateau": top - v[0] <= tolerance, "best": v[1]} for k, v in sorted(best.items())]
+
+
 def shares(rows: DataFrame, label: str) -> DataFrame:
     """Per series and label its share of the labelled bars."""
     out = rows.filter(F.col(label).isNotNull()).groupBy(*KEYS, label).agg(F.count("*").alias("n"))
@@ -129,8 +169,30 @@ def expanding_folds(months: list[str], test: int = 2) -> list[tuple[list[str], l
     return [(months[:k], months[k : k + test]) for k in range(test, len(months) - test + 1, test)]
 
 
-def protocol_measures(rows: DataFrame, label: str, timeframe: str) -> DataFrame:
-    """Per episode: bars, net move, path, regularity, amplitude and the greatest move against the net one."""
+def validated_search(grid: dict[str, list], score: Callable[..., float | None], folds: list[tuple]) -> list[dict]:
+    """Per fold (train, test): the choice by the training score, its test score, its rank among all, and its regret.
+
+    ``score(part, **parameters)`` gives the score on a part of the data; a score that can't be had is
+    the worst, and equal scores share their average rank.
+    """
+    choices = [dict(zip(grid, x, strict=True)) for x in itertools.product(*grid.values())]
+    worst = lambda x: -float("inf") if x is None else x
+    out = []
+    for train, test in folds:
+        trained, tested = [score(train, **c) for c in choices], [score(test, **c) for c in choices]
+        at = max(range(len(choices)), key=lambda k: worst(trained[k]))
+        own, best = tested[at], max(tested, key=worst)
+        above, equal = sum(worst(x) > worst(own) for x in tested), sum(worst(x) == worst(own) for x in tested)
+        out.append({"train": train, "test": test, **choices[at], "train_score": trained[at], "test_score": own, "test_rank": above + (equal + 1) / 2, "regret": None if own is None or best is None else best - own, "best_of_test": choices[tested.index(best)]})
+    return out
+
+
+def protocol_measures(rows: DataFrame, label: str, timeframe: str, orientation: dict[str, int] | None = None) -> DataFrame:
+    """Per episode: bars, net move, path, regularity, amplitude and the greatest move against the net one.
+
+    With ``orientation``, the sign that each label declares, declared_net and declared_opposite measure
+    the move along the declared direction and the greatest against it; they are null where none is declared.
+    """
     from tidemark.operators.context import episodes
 
     held = episodes(rows, label, timeframe).filter(F.col("episode").isNotNull())
@@ -139,4 +201,18 @@ def protocol_measures(rows: DataFrame, label: str, timeframe: str) -> DataFrame:
     held = held.withColumn("__step", F.coalesce(F.abs(F.col("close") - F.lag("close").over(own)), F.lit(0.0))).withColumn("__draw", F.max("close").over(upto) - F.col("close")).withColumn("__rise", F.col("close") - F.min("close").over(upto))
     out = held.groupBy(*KEYS, label, "episode").agg(F.min("ts").alias("debut"), F.max("ts").alias("fin"), F.count("*").alias("bars"), F.min_by("close", "ts").alias("first"), F.max_by("close", "ts").alias("last"), F.sum("__step").alias("path"), (F.max("close") - F.min("close")).alias("amplitude"), F.max("__draw").alias("draw"), F.max("__rise").alias("rise"))
     net = F.col("last") - F.col("first")
-    return out.select(*KEYS, label, "episode", "debut", "fin", "bars", net.alias("net"), "path", "amplitude", F.try_divide(F.abs(net), F.when(F.col("path") > 0, F.col("path"))).alias("regularity"), F.when(net >= 0, F.col("draw")).otherwise(F.col("rise")).alias("opposite"))
+    shown = [net.alias("net"), "path", "amplitude", F.try_divide(F.abs(net), F.when(F.col("path") > 0, F.col("path"))).alias("regularity"), F.when(net >= 0, F.col("draw")).otherwise(F.col("rise")).alias("opposite")]
+    if orientation:
+        sign = F.try_element_at(F.create_map(*[F.lit(x) for pair in orientation.items() for x in pair]), F.col(label))
+        shown += [(sign * net).alias("declared_net"), F.when(sign > 0, F.col("draw")).when(sign < 0, F.col("rise")).alias("declared_opposite")]
+    return out.select(*KEYS, label, "episode", "debut", "fin", "bars", *shown)
+
+
+def protocol_rates(rows: DataFrame, label: str, timeframe: str) -> DataFrame:
+    """Per series and label: episodes in 100 hours of labelled bars, and the share of those bars that the label occupies."""
+    from tidemark.operators.context import episodes
+
+    held = episodes(rows, label, timeframe).filter(F.col("episode").isNotNull())
+    each = held.groupBy(*KEYS, label).agg(F.countDistinct("episode").alias("n_episodes"), F.count("*").alias("bars"))
+    all_ = F.sum("bars").over(Window.partitionBy(*KEYS))
+    return each.select(*KEYS, label, "n_episodes", "bars", (100 * F.col("n_episodes") * 3600 / (all_ * seconds(timeframe))).alias("per_100_hours"), (F.col("bars") / all_).alias("occupancy"))

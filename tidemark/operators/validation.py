@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import bars as B
 from tidemark.operators.detectors import validity
-from tidemark.schema import IDENTITY, KEYS, PRICES, TIMEFRAMES, VOLUMES, InputError, micros, require, seconds, unaligned
+from tidemark.schema import IDENTITY, KEYS, PRICES, TIMEFRAMES, UNKNOWN, VOLUMES, InputError, micros, require, seconds, unaligned
 
 
 def _count(flag) -> object:
@@ -89,8 +89,28 @@ def prepare_regimes(long: DataFrame, method: str, params_hash: str | None = None
     return rows.withColumn("usable", validity(rows)), identity(rows)
 
 
-def prepare_prices(prices: DataFrame, regimes: DataFrame, source: str, target: str) -> DataFrame:
-    """Prices at the regimes' timeframe; a labelled bar without a price is an error."""
+def exclusion_counts(rows: DataFrame) -> DataFrame:
+    """Per series: rows, usable and excluded ones, and how many are partial, warming up, invalid, unknown or without label; these may overlap."""
+    flag = lambda c, default: F.coalesce(F.col(c), F.lit(default)) if c in rows.columns else F.lit(False)
+    invalid = ~F.coalesce("is_valid", F.lit(False)) if "is_valid" in rows.columns else F.lit(False)
+    named = {"n_partial": flag("is_partial", True), "n_warmup": flag("is_warmup", True), "n_invalid": invalid, "n_unknown": F.coalesce(F.col("regime") == UNKNOWN, F.lit(False)), "n_missing": F.col("regime").isNull()}
+    ok = validity(rows)
+    return rows.groupBy(*KEYS).agg(F.count("*").alias("n_rows"), _count(ok).alias("n_valid"), _count(~ok).alias("n_excluded"), *(_count(c).alias(n) for n, c in named.items()))
+
+
+def prepare_prices(prices: DataFrame, regimes: DataFrame, source: str, target: str, *, expected: DataFrame | None = None) -> DataFrame:
+    """Prices at the regimes' timeframe.
+
+    Assets, and where both have them source, price side, adjustment and calendar, must be the
+    regimes'; a labelled bar without a price is an error, and so is an ``expected`` grid with prices
+    of another timeframe.
+    """
+    if expected is not None and source != target:
+        raise InputError("with an expected grid, prices must be at the regimes' timeframe")
+    shared = [c for c in ("asset", *IDENTITY) if c in prices.columns and c in regimes.columns]
+    odd = regimes.select(*shared).distinct().join(prices.select(*shared).distinct(), shared, "left_anti").limit(1).collect()
+    if odd:
+        raise InputError(f"no prices are of {odd[0].asDict()}")
     out = prices if source == target else B.resample(prices, source, target)
     lost = regimes.select("asset", "ts").join(out.select("asset", "ts"), ["asset", "ts"], "left_anti")
     if not lost.isEmpty():

@@ -428,6 +428,22 @@ def test_line_dedup_splits_crowded_blocks(spark, monkeypatch):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) >= 120
 
 
+def test_line_dedup_loses_no_linked_pair(spark):
+    """Pairs at the very limit of edits, spread evenly over the line, so that their runs of equal words are short."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(5000)]
+    table = []
+    for length in (5, 6, 9, 10, 11, 14, 15, 20, 25, 30, 45, 50, 100, 260):
+        for k in range(30):
+            one = [rng.choice(words) for _ in range(length)]
+            two = list(one)
+            for j in range(length // 5):
+                two[5 * j + (2 if k % 3 else rng.randrange(5))] = f"new{len(table)}x{j}"
+            table += [(len(table), " ".join(one)), (len(table) + 1, " ".join(two))]
+    got = dropped_lines(spark.createDataFrame(table, "doc_id long, text string"))
+    assert got == {(k, 0) for k in range(1, len(table), 2)}
+
+
 def test_linked_lines_share_a_rare_block(spark):
     """Any two lines at the limit of edits have a block in common among the rarest of each."""
     rng = random.Random(3)

@@ -594,6 +594,21 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df, width=3, percent=85).collect()} == want
 
 
+def test_items_of_a_crowded_band_are_all_compared(spark, monkeypatch):
+    """Near copies that agree in one band only, whose bucket holds many other documents."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(linking, "CROWDED", 20)
+    whole = neardup.sketch
+    monkeypatch.setattr(neardup, "sketch", lambda *args: whole(*args).withColumn("bands", F.array(F.lit(7).cast("long"))))
+    rows = []
+    for k in range(60):
+        w = [f"a{k}x{j}" for j in range(60 + k % 7)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:-1], "other"]))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=3, percent=85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_super_minhash_estimates_similarity():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 2**52, 3000, dtype=np.uint64)

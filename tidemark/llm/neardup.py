@@ -10,10 +10,9 @@ Documents of equal sets become one item first. Items that agree in a band of the
 meet in a bucket; ``linking`` compares them without all pairs, and every link is confirmed on full
 sets. Before items of different groups are compared, a bound that no link fails rules most out: each
 set keeps the parity of its shingles in PARITY_BITS classes, and two sets differ in at least as many
-shingles as their parities differ in bits. A bucket of very many items is split by a second band that a
-pair shares, close to the first; nearly half of the bands are shared at the threshold, so a pair without two
-such is about as rare as MISS. The number of rows a band is chosen so that a pair at the threshold escapes all bands with
-a probability below ``MISS``; there is no cap on buckets or candidates.
+shingles as their parities differ in bits. The number of rows a band is chosen so that a pair at the threshold
+escapes all bands with a probability below ``MISS``; there is no cap on buckets or candidates, and buckets of any
+size are compared in full: items that agree in a band are in one group or have been compared.
 
 Defined cases: a text that is null or has no word has an empty set and is linked with nothing; a
 text of fewer words than a shingle has its whole sequence as one; rows without doc_id are linked
@@ -31,12 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import LOWER, U64, Powers, buffers, chunks, distinct, mix, shingles, span_hashes, words
-from tidemark.llm.linking import link, pairs_of_bands
+from tidemark.llm.linking import link
 from tidemark.session import arrow_map, materialize
 
 COMPONENTS, MISS = 128, 1e-6
-#: In a crowded bucket items of different groups are compared that share one of the next so many bands too.
-SPLIT_REACH = 4
 PARITY_BITS = 512
 #: Candidates' ids are broadcast up to so many (8 bytes each); beyond, texts are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -175,12 +172,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     sketched = materialize(sketch(base, width, rows), "sketches")
     items = sketched.filter("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("parity").alias("parity"))
     items = materialize(items, "items")
-    members = items.select("id", "n", F.posexplode("bands").alias("band", "h"))
+    members = items.select("id", "n", "bands", F.posexplode("bands").alias("band", "h"))
+    members = members.select("id", "n", "band", "h", F.when(F.col("band") > 0, F.get("bands", F.col("band") - 1)).alias("before"))
     near_sized = lambda a, b: 100 * F.least(f"{a}_n", f"{b}_n") >= percent * F.greatest(f"{a}_n", f"{b}_n")
     differ = lambda a, b: sum(F.bit_count(F.get(f"{a}_extra", F.lit(k)).bitwiseXOR(F.get(f"{b}_extra", F.lit(k)))) for k in range(PARITY_BITS // 64))
     enough = lambda a, b: (100 + percent) * differ(a, b) <= (100 - percent) * (F.col(f"{a}_n") + F.col(f"{b}_n"))
     sizes = {"least": F.min("n"), "most": F.max("n")}
-    groups = link(members, ["band", "h"], lambda pairs: confirm(base, pairs, width, percent), near_sized, ["n"], alone=sizes, couple=f"100 * least >= {percent} * most", resplit=lambda crowded: pairs_of_bands(crowded, COMPONENTS // rows, SPLIT_REACH, ["n"]), extra=items.select("id", F.col("parity").alias("extra")), bound=enough)
+    groups = link(members, ["band", "h"], lambda pairs: confirm(base, pairs, width, percent), near_sized, ["n"], alone=sizes, couple=f"100 * least >= {percent} * most", before="before", extra=items.select("id", F.col("parity").alias("extra")), bound=enough)
     roots = items.select("n", "s1", "s2", "id").join(groups, F.col("id") == F.col("node"), "left").select("n", "s1", "s2", F.coalesce("root", "id").alias("root"))
     out = sketched.select("doc_id", "n", "s1", "s2").join(roots, ["n", "s1", "s2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))

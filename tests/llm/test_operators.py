@@ -466,6 +466,21 @@ def test_linked_lines_share_a_rare_block(spark):
             assert held[i] & held[j], (a, b)
 
 
+def test_line_dedup_keeps_rows_of_blocks_small(spark, monkeypatch):
+    """A line has many blocks, so what is written for each of them holds no sketch and no words."""
+    written = {}
+
+    def spy(df, name="table", f=linededup.materialize):
+        written[name] = df.columns
+        return f(df, name)
+
+    monkeypatch.setattr(linededup, "materialize", spy)
+    one = " ".join(f"w{k}" for k in range(20))
+    table = [(1, one), (2, one.replace("w5", "other")), (3, "something else that is not like the others")]
+    assert dropped_lines(spark.createDataFrame(table, "doc_id long, text string")) == {(2, 0)}
+    assert all(set(c) <= {"key", "id", "n", "size"} for c in written.values() if "key" in c) and "keys" in written
+
+
 def test_repeats(docs, empty, rows):
     order = lambda i: 2**63 - 1 if i is None else i
     first = {}
